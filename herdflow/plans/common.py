@@ -26,7 +26,10 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            # round(x * 10^d) / 10^d in IEEE doubles: the same arithmetic as
+            # DuckDB's round(x, d), so exact decimal ties resolve identically.
+            scale = float(10 ** digits)
+            cols.append((F.round(F.col(f.name).cast("double") * F.lit(scale), 0) / F.lit(scale)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
