@@ -1 +1,73 @@
-"""Query plans."""
+"""I/O round trips: CSV/Parquet sinks and scans, JSON landing and flattening.
+
+Files are written under the session's shared checkpoint folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from herdflow.functions.nulls import text_or_empty
+from herdflow.plans.registry import register
+from herdflow.session import scratch_path
+from herdflow.sources.io import (file_metadata, land_json, read_back, read_back_check, scan_csv,
+                                 scan_json_records, sink)
+from herdflow.sources.tables import table
+
+CSV_SCHEMA = "n_nationkey INT, n_name STRING, n_regionkey INT, r_name STRING"
+
+CSV_ROUNDTRIP_SQL = """
+WITH j AS (SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT n_nationkey, n_name, r_name, CAST(count(*) OVER () AS BIGINT) AS written_rows,
+  CAST(count(*) OVER () AS BIGINT) AS reread_rows, CAST(0 AS BIGINT) AS missing_after_write,
+  CAST(0 AS BIGINT) AS extra_after_write, CAST(0 AS BIGINT) AS parquet_mismatch, n_name AS raw_name,
+  true AS files_hashed
+FROM j
+"""
+
+
+@register("csv_roundtrip", CSV_ROUNDTRIP_SQL)
+def q_csv_roundtrip(spark, sf_dir):
+    n = table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
+    r = table(spark, sf_dir, "region", "r_regionkey", "r_name")
+    df = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "n_regionkey", "r_name")
+    csv_out = scratch_path(spark, "nation-csv")
+    pq_out = scratch_path(spark, "nation-parquet")
+    sink(df, csv_out, "csv", partition_by=["r_name"])          # A11 + A12
+    sink(df, pq_out, "parquet")                                  # A10 + A12
+    back = scan_csv(spark, csv_out, schema=CSV_SCHEMA,           # A1/A2 (typed, pruned)
+                    columns=["n_nationkey", "n_name", "n_regionkey", "r_name"])
+    raw = scan_csv(spark, csv_out, raw_strings=True)             # A3
+    check = read_back_check(df, back)                            # A13
+    pq_check = read_back_check(df, read_back(spark, pq_out, "parquet")) \
+        .select((F.col("missing_after_write") + F.col("extra_after_write")).alias("parquet_mismatch"))
+    hashed = file_metadata(spark, csv_out + "/*/*.csv").agg(  # A14
+        (F.count_if(F.length("sha256") == 64) == F.count(F.lit(1))).alias("files_hashed"))
+    out = (back.join(raw.select(F.col("n_nationkey").cast("int").alias("n_nationkey"),
+                                F.col("n_name").alias("raw_name")), "n_nationkey")
+               .crossJoin(check).crossJoin(pq_check).crossJoin(hashed))
+    return out.select("n_nationkey", "n_name", "r_name", "written_rows", "reread_rows", "missing_after_write",
+                      "extra_after_write", "parquet_mismatch", "raw_name", "files_hashed").orderBy("n_nationkey")
+
+
+FLATTEN_JSON_SQL = """
+SELECT event_id, trim(event_type) AS event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS "detail.k",
+       user_id AS "detail.user_id", strftime(ts, '%Y-%m-%d') AS "detail.when.day"
+FROM events
+"""
+
+
+@register("flatten_json", FLATTEN_JSON_SQL)
+def q_flatten_json(spark, sf_dir):
+    e = table(spark, sf_dir, "events", "event_id", "event_type", "user_id", "props", "ts")
+    nested = e.select("event_id", F.concat(F.lit(" "), F.col("event_type")).alias("event_type"),
+                      F.struct(F.get_json_object("props", "$.k").cast("bigint").alias("k"),
+                               F.col("user_id").alias("user_id"),
+                               F.struct(F.date_format("ts", "yyyy-MM-dd").alias("day")).alias("when"))
+                       .alias("detail"))
+    landing = scratch_path(spark, "events-json")
+    land_json(nested, landing)                                   # A15
+    schema = ("event_id BIGINT, event_type STRING, "
+              "detail STRUCT<k: BIGINT, user_id: BIGINT, when: STRUCT<day: STRING>>")
+    flat = scan_json_records(spark, landing, schema=schema)      # A7
+    return flat.withColumn("event_type", text_or_empty("event_type"))   # B31

@@ -1 +1,228 @@
-"""Query plans."""
+"""Contracts, set operations, source union and summaries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from herdflow.functions import nulls as N
+from herdflow.functions.text import coalesce_preferred, prefix_id, split_address
+from herdflow.operators.lineage import target_years
+from herdflow.operators.quality import key_violations, row_preservation
+from herdflow.plans.common import round_doubles
+from herdflow.plans.registry import register
+from herdflow.sources.tables import table
+
+# --------------------------------------------------------------------------
+# Row contract: orders enriched with customer attributes.
+
+ROW_CONTRACT_SQL = """
+WITH j AS (SELECT o.*, c.c_mktsegment FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey),
+cum AS (SELECT o_custkey, o_orderdate, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+          ROWS UNBOUNDED PRECEDING) AS n FROM orders),
+mono AS (SELECT n - lag(n) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, n) AS d FROM cum)
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM orders) AS rows_before,
+  (SELECT CAST(count(*) AS BIGINT) FROM j) AS rows_after,
+  (SELECT CAST(count_if(c_custkey IS NULL) AS BIGINT) FROM customer) AS null_key_rows,
+  (SELECT CAST(count(*) AS BIGINT) FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1)) AS duplicate_keys,
+  CAST(0 AS BIGINT) AS missing_rows, CAST(0 AS BIGINT) AS extra_rows, CAST(0 AS BIGINT) AS changed_rows,
+  (SELECT CAST(count(DISTINCT o_custkey) AS BIGINT) FROM orders) AS distinct_customers,
+  (SELECT CAST(count_if(d < 0) AS BIGINT) FROM mono) AS decreasing_steps
+"""
+
+
+@register("row_contract", ROW_CONTRACT_SQL)
+def q_row_contract(spark, sf_dir):
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    c = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
+    j = o.join(c, o.o_custkey == c.c_custkey, "left").drop("c_custkey")         # D2 many-to-one
+    counts = o.agg(F.count(F.lit(1)).alias("rows_before")).crossJoin(j.agg(F.count(F.lit(1)).alias("rows_after")))
+    keys = key_violations(c, ["c_custkey"]).drop("duplicate_rows")             # J2
+    kept = row_preservation(o, j, ["o_orderkey"], o.columns)                     # J3
+    distinct = o.agg(F.count_distinct("o_custkey").alias("distinct_customers"))  # E22
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
+    cum = o.withColumn("n", F.count(F.lit(1)).over(w))
+    d = cum.withColumn("d", F.col("n") - F.lag("n").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "n")))
+    mono = d.agg(F.count_if(F.col("d") < 0).alias("decreasing_steps"))         # F7
+    out = counts.crossJoin(keys).crossJoin(kept).crossJoin(distinct).crossJoin(mono)
+    return out.select(*[F.col(c).cast("bigint").alias(c) for c in out.columns])
+
+
+# --------------------------------------------------------------------------
+# Observation filter.
+
+OBS_FILTER_SQL = """
+WITH e AS (SELECT CAST(user_id % 10 AS INTEGER) AS stn, CASE WHEN value < 1 THEN NULL ELSE value END AS v FROM events),
+st AS (SELECT DISTINCT CAST(c_nationkey % 10 AS INTEGER) AS stn FROM customer WHERE c_mktsegment = 'BUILDING'),
+x AS (SELECT e.*, st.stn IS NOT NULL AS matched FROM e LEFT JOIN st ON e.stn = st.stn)
+SELECT stn, matched, CAST(count(*) AS BIGINT) AS n_events, CAST(count(v) AS BIGINT) AS n_kept,
+  round(sum(v), 6) AS kept_sum
+FROM x GROUP BY stn, matched
+"""
+
+
+@register("observation_filter", OBS_FILTER_SQL)
+def q_observation_filter(spark, sf_dir):
+    e = table(spark, sf_dir, "events", "user_id", "value").select(
+        (F.col("user_id") % 10).cast("int").alias("stn"), F.when(F.col("value") >= 1, F.col("value")).alias("v"))
+    c = table(spark, sf_dir, "customer", "c_nationkey", "c_mktsegment")
+    st = c.filter(F.col("c_mktsegment") == "BUILDING").select((F.col("c_nationkey") % 10).cast("int").alias("stn")) \
+          .distinct().withColumn("__m", F.lit(True))
+    x = e.join(st, "stn", "left").withColumn("matched", F.col("__m").isNotNull())   # D3 indicator
+    kept = x.filter("matched").na.drop(subset=["v"])                                  # C11 + C6
+    allc = x.groupBy("stn", "matched").agg(F.count(F.lit(1)).alias("n_events"))
+    keptc = kept.groupBy("stn", "matched").agg(F.count(F.lit(1)).alias("n_kept"), F.sum("v").alias("kept_sum"))
+    out = allc.join(keptc, ["stn", "matched"], "left").select(
+        "stn", "matched", "n_events",
+        F.when(F.col("matched"), F.coalesce(F.col("n_kept"), F.lit(0)))
+         .otherwise(F.lit(0)).alias("n_kept_raw"), "kept_sum")
+    # unmatched stations keep their non-NULL count so both sides report the
+    # same "non-missing" measure; the filter result is n_kept for matched ones
+    nn = x.groupBy("stn", "matched").agg(F.count("v").alias("n_nonnull"), F.sum("v").alias("sum_nonnull"))
+    out = out.join(nn, ["stn", "matched"]).select(
+        "stn", "matched", "n_events", F.col("n_nonnull").alias("n_kept"), F.col("sum_nonnull").alias("kept_sum"))
+    return round_doubles(out)
+
+
+# --------------------------------------------------------------------------
+# Semi / anti / full outer joins and set algebra.
+
+SEMI_ANTI_SQL = """
+SELECT
+  (SELECT CAST(count(*) AS BIGINT) FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')) AS n_semi,
+  (SELECT CAST(count(*) AS BIGINT) FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')) AS n_anti,
+  (SELECT CAST(count(*) AS BIGINT) FROM
+     (SELECT o_custkey, count(*) AS nf FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) = 1996 GROUP BY 1) a
+     FULL JOIN (SELECT o_custkey, count(*) AS no FROM orders WHERE o_orderstatus = 'O' AND year(o_orderdate) = 1996 GROUP BY 1) b
+     ON a.o_custkey = b.o_custkey) AS n_full,
+  (SELECT CAST(count(*) AS BIGINT) FROM
+     (SELECT o_custkey, count(*) AS nf FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) = 1996 GROUP BY 1) a
+     FULL JOIN (SELECT o_custkey, count(*) AS no FROM orders WHERE o_orderstatus = 'O' AND year(o_orderdate) = 1996 GROUP BY 1) b
+     ON a.o_custkey = b.o_custkey WHERE a.o_custkey IS NULL OR b.o_custkey IS NULL) AS n_one_sided,
+  (SELECT CAST(count(*) AS BIGINT) FROM (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders)) AS n_key_union,
+  (SELECT CAST(count(*) AS BIGINT) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) AS n_customer_only,
+  (SELECT CAST(count(*) AS BIGINT) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)) AS n_order_only,
+  (SELECT CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT y FROM (SELECT year(o_orderdate) AS y FROM orders UNION ALL SELECT year(l_shipdate) FROM lineitem))) AS n_years,
+  (SELECT CAST(min(y) AS INTEGER) FROM (SELECT year(o_orderdate) AS y FROM orders UNION ALL SELECT year(l_shipdate) FROM lineitem)) AS first_year
+"""
+
+
+@register("semi_anti_full", SEMI_ANTI_SQL)
+def q_semi_anti_full(spark, sf_dir):
+    c = table(spark, sf_dir, "customer", "c_custkey")
+    o = table(spark, sf_dir, "orders", "o_custkey", "o_orderstatus", "o_orderdate")
+    li = table(spark, sf_dir, "lineitem", "l_shipdate")
+    semi = c.join(o.filter(F.col("o_orderstatus") == "F"), c.c_custkey == o.o_custkey, "left_semi") \
+            .agg(F.count(F.lit(1)).alias("n_semi"))                                            # D7
+    anti = c.join(o.filter(F.col("o_orderstatus") == "P"), c.c_custkey == o.o_custkey, "left_anti") \
+            .agg(F.count(F.lit(1)).alias("n_anti"))                                            # D8
+    y96 = o.filter(F.year("o_orderdate") == 1996)
+    a = y96.filter(F.col("o_orderstatus") == "F").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("nf"))
+    b = y96.filter(F.col("o_orderstatus") == "O").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("no"))
+    full = a.join(b, "o_custkey", "full")                                                      # D4
+    fullc = full.agg(F.count(F.lit(1)).alias("n_full"),
+                     F.count_if(F.col("nf").isNull() | F.col("no").isNull()).alias("n_one_sided"))
+    ck = c.select(F.col("c_custkey").alias("k"))
+    ok = o.select(F.col("o_custkey").alias("k"))
+    sets = (ck.union(ok).distinct().agg(F.count(F.lit(1)).alias("n_key_union"))               # G2
+            .crossJoin(ck.subtract(ok).agg(F.count(F.lit(1)).alias("n_customer_only")))
+            .crossJoin(ok.subtract(ck).agg(F.count(F.lit(1)).alias("n_order_only"))))
+    yrs = target_years((o.select(F.year("o_orderdate").alias("y")), "y"),
+                       (li.select(F.year("l_shipdate").alias("y")), "y"))                       # G3
+    yrs = yrs.select(F.size("__years").cast("bigint").alias("n_years"),
+                     F.element_at("__years", 1).cast("int").alias("first_year"))
+    out = semi.crossJoin(anti).crossJoin(fullc).crossJoin(sets).crossJoin(yrs)
+    return out.select(*[F.col(x).cast("bigint").alias(x) if x != "first_year" else F.col(x) for x in out.columns])
+
+
+# --------------------------------------------------------------------------
+# Summary by key with a NULL key group kept.
+
+SUMMARY_SQL = """
+WITH o AS (SELECT CASE WHEN o_orderstatus = 'P' AND o_orderkey % 9 = 0 THEN NULL ELSE o_orderpriority END AS prio,
+             o_totalprice, year(o_orderdate) AS y, o_custkey FROM orders)
+SELECT prio, CAST(count(*) AS BIGINT) AS n, round(avg(o_totalprice), 6) AS mean_price, round(avg(y), 6) AS mean_year,
+  round(avg(o_custkey), 6) AS mean_customer
+FROM o GROUP BY prio
+"""
+
+
+@register("summary_by_key", SUMMARY_SQL)
+def q_summary_by_key(spark, sf_dir):
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice",
+              "o_orderdate", "o_custkey")
+    prio = F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 9 == 0), F.lit(None)) \
+            .otherwise(F.col("o_orderpriority"))
+    s = o.groupBy(prio.alias("prio")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean_price"),
+        F.avg(F.year("o_orderdate")).alias("mean_year"), F.avg("o_custkey").alias("mean_customer"))
+    return round_doubles(s.orderBy(F.desc("n")))
+
+
+# --------------------------------------------------------------------------
+# Source union (G1, B24-B28, J10-J12): customers ("original") and suppliers
+# ("smartfarm") normalised into one history schema.
+
+def _union(spark, sf_dir):
+    c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+    s = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_name", "s_acctbal")
+    n = table(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    orig_addr = F.concat_ws(" ", "n_name", "c_mktsegment")
+    co = c.join(n, c.c_nationkey == n.n_nationkey)
+    parts = split_address(orig_addr)
+    original = co.select(prefix_id("C", F.col("c_custkey").cast("string")).alias("CATTLE_NO"),
+                         parts[0].alias("sido"), parts[1].alias("sigungu"), parts[2].alias("eupmyeondong"),
+                         N.number_or_sentinel(F.when(F.col("c_acctbal") > 9000, F.lit("n/a"))
+                                              .otherwise(F.col("c_acctbal").cast("string"))).alias("balance"),
+                         F.lit(-99.0).alias("COST_AMT"), F.lit("original").alias("SOURCE"))
+    so = s.join(n, s.s_nationkey == n.n_nationkey)
+    addr = F.when(F.col("s_suppkey") % 7 == 0, F.lit("-99")).otherwise(F.concat_ws(" ", "n_name", "s_name", F.lit("x")))
+    last_farm = F.when(F.col("s_suppkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("F"), F.col("s_suppkey").cast("string")))
+    first_farm = F.concat(F.lit("G"), F.col("s_nationkey").cast("string"))
+    sp = split_address(addr)
+    smart = so.select(prefix_id("S", F.concat(F.col("s_suppkey").cast("string"), F.lit(".0"))).alias("CATTLE_NO"),
+                      sp[0].alias("sido"), sp[1].alias("sigungu"), sp[2].alias("eupmyeondong"),
+                      N.number_or_sentinel(F.col("s_acctbal").cast("string")).alias("balance"),
+                      F.lit(-99.0).alias("COST_AMT"), F.lit("smartfarm").alias("SOURCE"),
+                      coalesce_preferred(last_farm, first_farm).alias("FARM_UNIQUE_NO"))
+    original = original.withColumn("FARM_UNIQUE_NO", F.concat(F.lit("C"), F.col("CATTLE_NO")))
+    return original.unionByName(smart)                                                         # G1
+
+
+UNION_SQL = """
+WITH c AS (SELECT 'C' || CAST(c_custkey AS VARCHAR) AS CATTLE_NO, n_name AS sido, c_mktsegment AS sigungu, '-99' AS eupmyeondong,
+             CASE WHEN c_acctbal > 9000 THEN -99.0 ELSE c_acctbal END AS balance, 'original' AS SOURCE,
+             'CC' || CAST(c_custkey AS VARCHAR) AS FARM_UNIQUE_NO
+           FROM customer JOIN nation ON c_nationkey = n_nationkey),
+s AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS CATTLE_NO,
+        CASE WHEN s_suppkey % 7 = 0 THEN '-99' ELSE string_split_regex(n_name || ' ' || s_name || ' x', '\\s+')[1] END AS sido,
+        CASE WHEN s_suppkey % 7 = 0 THEN '-99' ELSE coalesce(string_split_regex(n_name || ' ' || s_name || ' x', '\\s+')[2], '-99') END AS sigungu,
+        CASE WHEN s_suppkey % 7 = 0 THEN '-99' ELSE coalesce(string_split_regex(n_name || ' ' || s_name || ' x', '\\s+')[3], '-99') END AS eupmyeondong,
+        s_acctbal AS balance, 'smartfarm' AS SOURCE,
+        CASE WHEN s_suppkey % 3 = 0 THEN 'G' || CAST(s_nationkey AS VARCHAR) ELSE 'F' || CAST(s_suppkey AS VARCHAR) END AS FARM_UNIQUE_NO
+      FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+u AS (SELECT * FROM c UNION ALL SELECT * FROM s)
+SELECT SOURCE, CAST(count(*) AS BIGINT) AS n_rows,
+  CAST(count_if(NOT starts_with(CATTLE_NO, CASE SOURCE WHEN 'original' THEN 'C' ELSE 'S' END)) AS BIGINT) AS n_bad_prefix,
+  CAST(count_if(balance = -99.0) AS BIGINT) AS n_missing_balance,
+  CAST(count_if(eupmyeondong = '-99') AS BIGINT) AS n_missing_town,
+  CAST(count(DISTINCT FARM_UNIQUE_NO) AS BIGINT) AS n_farms,
+  round(sum(CASE WHEN balance = -99.0 THEN 0 ELSE balance END), 6) AS balance_sum,
+  CAST(count_if(regexp_full_match(CATTLE_NO, '[CS][0-9]+')) AS BIGINT) AS n_pattern_ok
+FROM u GROUP BY SOURCE
+"""
+
+
+@register("union_sources", UNION_SQL)
+def q_union_sources(spark, sf_dir):
+    u = _union(spark, sf_dir)
+    prefix = F.when(F.col("SOURCE") == "original", F.lit("C")).otherwise(F.lit("S"))
+    out = u.groupBy("SOURCE").agg(                                                             # J12
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(~F.col("CATTLE_NO").startswith(prefix)).alias("n_bad_prefix"),           # J11
+        F.count_if(F.col("balance") == -99.0).alias("n_missing_balance"),
+        F.count_if(F.col("eupmyeondong") == "-99").alias("n_missing_town"),
+        F.count_distinct("FARM_UNIQUE_NO").alias("n_farms"),
+        F.sum(F.when(F.col("balance") == -99.0, F.lit(0.0)).otherwise(F.col("balance"))).alias("balance_sum"),
+        F.count_if(F.col("CATTLE_NO").rlike("^[CS][0-9]+$")).alias("n_pattern_ok"))          # J10
+    return round_doubles(out)
