@@ -34,9 +34,13 @@ MISSING_WEATHER = -99.0
 # ---------------------------------------------------------------------------
 
 
+WHITESPACE = " \t\n\r\x0b\x0c"
+
+
 def ws_trim(c) -> Column:
-    """Strip all leading/trailing whitespace (``trim`` only strips spaces)."""
-    return F.regexp_replace(as_col(c).cast("string"), r"^\s+|\s+$", "")
+    """Strip all leading/trailing ASCII whitespace (plain ``trim`` only strips
+    spaces); a character-set trim, no regex."""
+    return F.trim(as_col(c).cast("string"), F.lit(WHITESPACE))
 
 
 def null_tokens(c, tokens: Iterable[str] = MISSING_TOKENS) -> Column:

@@ -41,15 +41,21 @@ def grade_agreement(df: DataFrame, *, predicted: str, actual: str, quality: str,
     cond = F.lit(True)
     for c in valid:
         cond = cond & F.col(c).isNotNull()
-    v = df.filter(cond)
+    # Conditional aggregation over a validity flag (not a filter): the flag
+    # stays next to the aggregate instead of being pushed into upstream joins.
+    v = df.withColumn("__valid", cond)
+    ok = F.col("__valid")
     aq = G.grade_quality_part(F.col(actual))
     ay = G.grade_yield_part(F.col(actual))
+
+    def rate(eq):
+        return F.avg(F.when(ok, F.coalesce(eq, F.lit(False)).cast("double")))
     return v.agg(
-        F.count(F.lit(1)).alias("n_valid"),
-        F.count_if(F.col(predicted) == F.col(actual)).alias("n_match"),
-        F.avg(F.coalesce(F.col(predicted) == F.col(actual), F.lit(False)).cast("double")).alias("match_rate"),
-        F.avg(F.coalesce(F.col(quality) == aq, F.lit(False)).cast("double")).alias("quality_match_rate"),
-        F.avg(F.coalesce(F.col(yield_code) == ay, F.lit(False)).cast("double")).alias("yield_match_rate"))
+        F.count_if(ok).alias("n_valid"),
+        F.count_if(ok & (F.col(predicted) == F.col(actual))).alias("n_match"),
+        rate(F.col(predicted) == F.col(actual)).alias("match_rate"),
+        rate(F.col(quality) == aq).alias("quality_match_rate"),
+        rate(F.col(yield_code) == ay).alias("yield_match_rate"))
 
 
 def per_sex_summary(df: DataFrame, *, sex: str, index: str, grade: str) -> DataFrame:

@@ -86,10 +86,19 @@ def q_grade_class_builder(spark, sf_dir):
 
 
 def _numeric_scores(spark, sf_dir):
-    df = _scored(spark, sf_dir)
-    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_discount",
-                     "l_tax", "l_quantity", "p_size", "p_retailprice",
-                     *[N.to_number(c).alias(c) for c in SCORES.values()])
+    """The tabular and sequence learners read numeric scores (missing = NULL):
+    the same values as ``to_number`` of the text scores, derived directly."""
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+               "l_returnflag", "l_discount", "l_tax", "l_quantity")
+    part = table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice")
+    j = li.join(part, li.l_partkey == part.p_partkey)
+    missing = (F.col("l_linenumber") >= 6) | ((F.col("l_orderkey") % 17) == 0)
+
+    def score(shift):
+        return F.when(~missing, ((F.col("p_size") + F.lit(shift)) % 9 + 1).cast("double"))
+    return j.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_discount",
+                    "l_tax", "l_quantity", "p_size", "p_retailprice",
+                    *[score(i).alias(c) for i, c in enumerate(SCORES.values())])
 
 
 def _tabular_sql():
