@@ -159,8 +159,7 @@ def autocorr_lags_fft(df: DataFrame, x: str = "x", top_k: int = 5, out: str = "l
     import numpy as np
     import pandas as pd
 
-    @F.pandas_udf("array<int>")
-    def lags_udf(col: pd.Series) -> pd.Series:
+    def lags(col):
         res = []
         for arr in col:
             v = np.asarray(arr, dtype=float)
@@ -171,7 +170,9 @@ def autocorr_lags_fft(df: DataFrame, x: str = "x", top_k: int = 5, out: str = "l
             res.append((order[:top_k] + 1).astype(int).tolist())
         return pd.Series(res)
 
-    return df.withColumn(out, lags_udf(F.col(x)))
+    # real (not postponed) annotations so Spark infers a scalar pandas UDF
+    lags.__annotations__ = {"col": pd.Series, "return": pd.Series}
+    return df.withColumn(out, F.pandas_udf(lags, "array<int>")(F.col(x)))
 
 
 def fixed4(c: Column) -> Column:
