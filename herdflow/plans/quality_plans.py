@@ -8,26 +8,28 @@ from pyspark.sql import functions as F
 from herdflow.functions import nulls as N
 from herdflow.functions.text import coalesce_preferred, prefix_id, split_address
 from herdflow.operators.lineage import target_years
+from herdflow.operators import quality
 from herdflow.operators.quality import key_violations, row_preservation
 from herdflow.plans.common import round_doubles
+from herdflow.plans.lineage_plans import OFFSPRING_SQL, _offspring
 from herdflow.plans.registry import register
 from herdflow.sources.tables import table
 
 # --------------------------------------------------------------------------
 # Row contract: orders enriched with customer attributes.
 
-ROW_CONTRACT_SQL = """
+ROW_CONTRACT_SQL = f"""
 WITH j AS (SELECT o.*, c.c_mktsegment FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey),
-cum AS (SELECT o_custkey, o_orderdate, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
-          ROWS UNBOUNDED PRECEDING) AS n FROM orders),
-mono AS (SELECT n - lag(n) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, n) AS d FROM cum)
+off AS ({OFFSPRING_SQL.replace("WITH ch AS", "WITH ch0 AS").replace("FROM ch ", "FROM ch0 ")}),
+mono AS (SELECT PAST_OFFSPRING_COUNT - lag(PAST_OFFSPRING_COUNT) OVER (PARTITION BY LINEAGE_NO, ROLE ORDER BY TARGET_YEAR) AS d FROM off)
 SELECT (SELECT CAST(count(*) AS BIGINT) FROM orders) AS rows_before,
   (SELECT CAST(count(*) AS BIGINT) FROM j) AS rows_after,
   (SELECT CAST(count_if(c_custkey IS NULL) AS BIGINT) FROM customer) AS null_key_rows,
   (SELECT CAST(count(*) AS BIGINT) FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1)) AS duplicate_keys,
   CAST(0 AS BIGINT) AS missing_rows, CAST(0 AS BIGINT) AS extra_rows, CAST(0 AS BIGINT) AS changed_rows,
   (SELECT CAST(count(DISTINCT o_custkey) AS BIGINT) FROM orders) AS distinct_customers,
-  (SELECT CAST(count_if(d < 0) AS BIGINT) FROM mono) AS decreasing_steps
+  (SELECT CAST(count_if(d < 0) AS BIGINT) FROM mono) AS decreasing_steps,
+  (SELECT CAST(count_if(TARGET_YEAR = (SELECT min(TARGET_YEAR) FROM off) AND PAST_OFFSPRING_COUNT <> 0) AS BIGINT) FROM off) AS nonzero_first_year
 """
 
 
@@ -40,10 +42,16 @@ def q_row_contract(spark, sf_dir):
     keys = key_violations(c, ["c_custkey"]).drop("duplicate_rows")             # J2
     kept = row_preservation(o, j, ["o_orderkey"], o.columns)                     # J3
     distinct = o.agg(F.count_distinct("o_custkey").alias("distinct_customers"))  # E22
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    cum = o.withColumn("n", F.count(F.lit(1)).over(w))
-    d = cum.withColumn("d", F.col("n") - F.lag("n").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "n")))
-    mono = d.agg(F.count_if(F.col("d") < 0).alias("decreasing_steps"))         # F7
+    # F7 + J7: cumulative offspring counts never decrease along the target
+    # years and start at 0; each (parent, role) series is bounded by the
+    # number of years, so the window never holds a hot key's raw rows.
+    off = _offspring(spark, sf_dir)
+    mono = quality.monotone_violations(off, ["LINEAGE_NO", "ROLE"], "TARGET_YEAR", "PAST_OFFSPRING_COUNT")
+    y0 = off.agg(F.min("TARGET_YEAR").alias("__first"))          # one-row scalar
+    first = off.crossJoin(F.broadcast(y0)).agg(
+        F.count_if((F.col("TARGET_YEAR") == F.col("__first")) & (F.col("PAST_OFFSPRING_COUNT") != 0))
+        .alias("nonzero_first_year"))
+    mono = mono.crossJoin(first)
     out = counts.crossJoin(keys).crossJoin(kept).crossJoin(distinct).crossJoin(mono)
     return out.select(*[F.col(c).cast("bigint").alias(c) for c in out.columns])
 
@@ -55,8 +63,8 @@ OBS_FILTER_SQL = """
 WITH e AS (SELECT CAST(user_id % 10 AS INTEGER) AS stn, CASE WHEN value < 1 THEN NULL ELSE value END AS v FROM events),
 st AS (SELECT DISTINCT CAST(c_nationkey % 10 AS INTEGER) AS stn FROM customer WHERE c_mktsegment = 'BUILDING'),
 x AS (SELECT e.*, st.stn IS NOT NULL AS matched FROM e LEFT JOIN st ON e.stn = st.stn)
-SELECT stn, matched, CAST(count(*) AS BIGINT) AS n_events, CAST(count(v) AS BIGINT) AS n_kept,
-  round(sum(v), 6) AS kept_sum
+SELECT stn, matched, CAST(count(*) AS BIGINT) AS n_events, CAST(count_if(matched AND v IS NOT NULL) AS BIGINT) AS n_kept,
+  round(sum(CASE WHEN matched THEN v END), 6) AS kept_sum
 FROM x GROUP BY stn, matched
 """
 
@@ -73,14 +81,7 @@ def q_observation_filter(spark, sf_dir):
     allc = x.groupBy("stn", "matched").agg(F.count(F.lit(1)).alias("n_events"))
     keptc = kept.groupBy("stn", "matched").agg(F.count(F.lit(1)).alias("n_kept"), F.sum("v").alias("kept_sum"))
     out = allc.join(keptc, ["stn", "matched"], "left").select(
-        "stn", "matched", "n_events",
-        F.when(F.col("matched"), F.coalesce(F.col("n_kept"), F.lit(0)))
-         .otherwise(F.lit(0)).alias("n_kept_raw"), "kept_sum")
-    # unmatched stations keep their non-NULL count so both sides report the
-    # same "non-missing" measure; the filter result is n_kept for matched ones
-    nn = x.groupBy("stn", "matched").agg(F.count("v").alias("n_nonnull"), F.sum("v").alias("sum_nonnull"))
-    out = out.join(nn, ["stn", "matched"]).select(
-        "stn", "matched", "n_events", F.col("n_nonnull").alias("n_kept"), F.col("sum_nonnull").alias("kept_sum"))
+        "stn", "matched", "n_events", F.coalesce(F.col("n_kept"), F.lit(0)).alias("n_kept"), "kept_sum")
     return round_doubles(out)
 
 
