@@ -28,12 +28,21 @@ def parse_observation_lines(lines: DataFrame, text_col: str = "value",
     t = F.regexp_replace(F.trim(F.col(text_col)), r"\\+$", "")
     t = F.trim(t)
     kept = lines.select(t.alias("__line")).filter((F.col("__line") != "") & ~F.col("__line").startswith("#"))
-    parts = F.split(F.col("__line"), r"\s*,\s*|\s+")
-    return kept.select(
-        F.try_to_timestamp(F.get(parts, 0), F.lit(time_format)).alias("tm"),
-        F.get(parts, 1).try_cast("int").alias("stn"),
-        F.transform(F.slice(parts, 3, 1000), lambda v: obs_to_float(v)).alias("values"),
-    ).filter(F.col("tm").isNotNull() & F.col("stn").isNotNull())
+    # Each array is computed once per line: a one-element explode is a
+    # generator, which the optimizer does not inline into every consumer
+    # (otherwise the split and the value parsing repeat per field).
+    parts = _once(kept, F.split(F.col("__line"), r"\s*,\s*|\s+"), "__parts")
+    parsed = parts.select(
+        F.try_to_timestamp(F.get("__parts", 0), F.lit(time_format)).alias("tm"),
+        F.get("__parts", 1).try_cast("int").alias("stn"),
+        F.transform(F.slice("__parts", 3, 1000), lambda v: obs_to_float(v)).alias("__values"))
+    parsed = _once(parsed, F.col("__values"), "values").drop("__values")
+    return parsed.filter(F.col("tm").isNotNull() & F.col("stn").isNotNull())
+
+
+def _once(df: DataFrame, expr, name: str) -> DataFrame:
+    """Evaluate ``expr`` once per row and expose it as a plain column."""
+    return df.select("*", F.explode(F.array(expr)).alias(name))
 
 
 def hourly_to_daily(obs: DataFrame, *, stn: str = "stn", tm: str = "tm",
