@@ -70,6 +70,31 @@ def date_floor_filter(df: DataFrame, *, start: str, end: str, min_start=None) ->
     return df.filter(cond)
 
 
+def select_numeric(df: DataFrame, exclude: Iterable[str] = ()) -> DataFrame:
+    """Keep numeric columns only, minus an exclusion list."""
+    from pyspark.sql.types import NumericType
+
+    ex = set(exclude)
+    return df.select(*[f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in ex])
+
+
+def ordered_columns(df: DataFrame, preferred: Sequence[str]) -> DataFrame:
+    """The preferred columns that exist first (in that order), then the rest."""
+    first = [c for c in preferred if c in df.columns]
+    return df.select(*first, *[c for c in df.columns if c not in first])
+
+
+def aligned_join(left: DataFrame, right: DataFrame, key: Sequence[str], how: str = "left") -> DataFrame:
+    """Index-aligned combination of two tables keyed the same way
+    (pandas index alignment becomes an explicit key join)."""
+    return left.join(right, list(key), how)
+
+
+def add_polynomial(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
+    """Squared term of a numeric column."""
+    return df.withColumn(out or f"{col}_sq", F.col(col).cast("double") * F.col(col).cast("double"))
+
+
 def zero_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """NULL -> 0 on the given columns (farms without records)."""
     return df.na.fill(0, list(cols))

@@ -33,6 +33,16 @@ def hourly_series(df: DataFrame, *, channel: str, ts: str, value: str) -> DataFr
     return out.select("channel", "t", idx.alias("idx"), F.coalesce(F.col("value"), F.lit(0.0)).cast("double").alias("value"))
 
 
+def select_channels(series: DataFrame, features: str = "M", target: str = "OT",
+                    channel: str = "channel") -> DataFrame:
+    """``M``/``MS`` keep every channel, ``S`` only the target channel."""
+    if features in ("M", "MS"):
+        return series
+    if features == "S":
+        return series.filter(F.col(channel) == F.lit(target))
+    raise ValueError("features must be one of M, MS, S")
+
+
 def split_borders(seq_len: int, n_train: int, n_val: int, n_test: int, percent: int = 100) -> dict[str, tuple[int, int]]:
     """[start, end) rows of train / val / test; val and test start
     ``seq_len`` earlier; train is shortened by ``percent`` (floor division)."""

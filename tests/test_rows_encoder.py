@@ -43,6 +43,19 @@ def test_encoder_samples(spark):
     assert ("s1", 1) not in out and not any(k[0] == "s2" for k in out)
 
 
+def test_small_helpers(spark):
+    from herdflow.operators import quality, series
+
+    df = spark.createDataFrame([(1, 2.0, "a", None, 0), (2, None, "b", 1.5, 3)], "k int, x double, s string, m double, n int")
+    assert rows.select_numeric(df, exclude=["k"]).columns == ["x", "m", "n"]
+    assert rows.ordered_columns(df, ["s", "zz", "k"]).columns == ["s", "k", "x", "m", "n"]
+    assert rows.add_polynomial(df, "x").first().x_sq == 4.0
+    agree = quality.null_sample_agreement(df, {"m": "n"}).first()
+    assert agree.m_disagree == 0
+    ser = spark.createDataFrame([("OT", 1), ("HUFL", 2)], "channel string, v int")
+    assert series.select_channels(ser, "S", "OT").count() == 1 and series.select_channels(ser, "M").count() == 2
+
+
 def test_bounded_broadcast(spark):
     small = spark.range(10).withColumn("x", F.col("id") * 2)
     df, hinted = joins.bounded_broadcast(small, max_bytes=10_000)
