@@ -19,11 +19,17 @@ def dense_row_id(df: DataFrame, order_by: Sequence[str], out: str = "row_idx") -
     a deterministic input); the position inside a partition comes from
     ``monotonically_increasing_id``; per-partition row counts (one row per
     partition) give the running offsets, joined back as a small table. No
-    single task holds all rows and no row leaves the JVM.
+    single task holds all rows and no row leaves the JVM. The ordered rows are
+    written once (shared folder) so both passes see the same positions.
     """
+    from herdflow.operators.joins import materialize
+
     n = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ordered = (df.repartitionByRange(int(n), *order_by).sortWithinPartitions(*order_by)
                  .withColumn("__mid", F.monotonically_increasing_id()))
+    # The partition positions are physical; fix them in a written table so the
+    # counts and the rows can never come from two different executions.
+    ordered = materialize(ordered, "row-order")
     ordered = ordered.withColumn("__pid", F.shiftright("__mid", 33)) \
                      .withColumn("__pos", F.col("__mid") - F.shiftleft(F.col("__pid"), 33))
     counts = ordered.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))

@@ -32,5 +32,5 @@ def load_all() -> None:
     """Import every plan module so their ``@register`` calls run."""
     from herdflow.plans import (  # noqa: F401
         history_plans, grade_plans, farm_plans, lineage_plans, weather_plans,
-        series_plans, learn_plans, quality_plans, io_plans, stream_plans, contract_plans,
+        series_plans, learn_plans, quality_plans, io_plans, stream_plans, contract_plans, builder_plans,
     )
