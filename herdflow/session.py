@@ -53,6 +53,9 @@ def apply_defaults(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+_LOCAL_CHECKPOINT_DIR: str | None = None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
@@ -60,12 +63,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder there). Only when it is unset - local tests - a fresh scratch folder
     is created and registered.
     """
+    global _LOCAL_CHECKPOINT_DIR
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
-        configured = tempfile.mkdtemp(prefix="herdflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        # ``spark.checkpoint.dir`` cannot be changed at runtime (Spark 4), so
+        # an unset session gets a process-local folder via the SparkContext.
+        if _LOCAL_CHECKPOINT_DIR is None:
+            _LOCAL_CHECKPOINT_DIR = tempfile.mkdtemp(prefix="herdflow-ckpt-")
+        configured = _LOCAL_CHECKPOINT_DIR
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured

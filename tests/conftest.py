@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -12,8 +11,8 @@ def spark():
     from herdflow.session import build_session
 
     s = build_session("local[2]", app="herdflow-tests", shuffle_partitions=4)
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="herdflow-test-ckpt-"))
+    # the shared checkpoint folder comes from the session; herdflow.session
+    # falls back to a private folder only when it is unset
     yield s
     s.stop()
 
