@@ -11,6 +11,20 @@ from herdflow.session import scratch_path
 MAX_BROADCAST_BYTES = 128 * 1024 * 1024
 
 
+def with_scalars(df: DataFrame, *one_row: DataFrame) -> DataFrame:
+    """Attach the columns of one-row aggregates (medians, bounds, year lists,
+    counts) to every row of ``df`` as uncorrelated scalar subqueries: each is
+    executed once and inlined as a value - no join, no row pairing."""
+    out = df
+    for i, s in enumerate(one_row):
+        name = f"__scalar{i}"
+        sub = s.select(F.struct(*[F.col(f"`{c}`") for c in s.columns]).alias(name)).scalar()
+        out = out.select("*", sub.alias(name))
+        out = out.select(*[F.col(f"`{c}`") for c in out.columns if c != name],
+                         *[F.col(name).getField(c).alias(c) for c in s.columns])
+    return out
+
+
 def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
     """Write ``df`` as a Parquet table under the shared checkpoint folder and
     read it back: lineage is cut, the result survives executor loss, and the

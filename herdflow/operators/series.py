@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from herdflow.functions.dates import cyclic_free_features, int_time_features, time_features
+from herdflow.operators.joins import with_scalars
 
 
 def hourly_series(df: DataFrame, *, channel: str, ts: str, value: str) -> DataFrame:
@@ -26,7 +27,7 @@ def hourly_series(df: DataFrame, *, channel: str, ts: str, value: str) -> DataFr
                   F.col(value).alias("__v"))
     sums = h.groupBy("channel", "t").agg(F.sum("__v").alias("value"))
     bounds = sums.agg(F.min("t").alias("__t0"), F.max("t").alias("__t1"))
-    grid = (sums.select("channel").distinct().crossJoin(F.broadcast(bounds))
+    grid = (with_scalars(sums.select("channel").distinct(), bounds)
                 .select("channel", "__t0", F.explode(F.sequence("__t0", "__t1", F.expr("INTERVAL 1 HOUR"))).alias("t")))
     out = grid.join(sums, ["channel", "t"], "left")
     idx = ((F.unix_timestamp("t") - F.unix_timestamp("__t0")) / 3600).cast("int")

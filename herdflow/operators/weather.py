@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from herdflow.functions.dates import hour_to_day
 from herdflow.functions.nulls import obs_to_float, round_or_sentinel
+from herdflow.operators.joins import with_scalars
 
 DAILY_VARS = ["ta_max", "rn_day", "ta_min", "rhm_avg", "ws_davg"]
 ROLLING_VARS = ["ta_max", "ta_min", "rn_day", "rhm_avg", "ws_davg", "temp_range"]
@@ -68,7 +69,7 @@ def station_day_grid(stations: DataFrame, bounds: DataFrame, stn: str = "stn") -
     definition of the operator)."""
     rng = F.sequence(F.col("start"), F.col("end"))
     return (stations.select(F.col(stn).alias("stn")).distinct()
-            .crossJoin(F.broadcast(bounds.select("start", "end")))
+            .transform(lambda s: with_scalars(s, bounds.select("start", "end")))
             .select("stn", F.explode(rng).alias("day")))
 
 

@@ -9,6 +9,7 @@ from herdflow.plans.farm_plans import CLASSIFY_REASONS_SQL, RECORD_RATIO_STATUS_
     q_record_ratio_status
 from herdflow.plans.lineage_plans import FARM_YEAR_MEAN_SQL, q_farm_year_mean
 from herdflow.plans.registry import register
+from herdflow.operators.joins import with_scalars
 
 STATUS_COLUMNS = ["FARM_BIOSECURITY_STATUS", "FARM_HEALTH_STATUS", "FARM_ACCIDENT_STATUS"]
 STATUS_DOMAIN = ["YES", "NO", "MISSING"]
@@ -38,11 +39,11 @@ def q_contract_checks(spark, sf_dir):
     dom = None
     for c in STATUS_COLUMNS:                                                          # J4
         d = domain_violations(rrs, c, STATUS_DOMAIN)
-        dom = d if dom is None else dom.crossJoin(d)
+        dom = d if dom is None else with_scalars(dom, d)
     cr = q_classify_reasons(spark, sf_dir)
     rng = range_violations(cr, {"record_ratio": (0.0, 1.0), "total": (0, None)})     # J5
     fy = q_farm_year_mean(spark, sf_dir)
     agree = null_sample_agreement(fy, {"FARM_YEAR_FATHER_OFFSPRING_MEAN": "FARM_YEAR_FATHER_SAMPLE_COUNT",
                                        "FARM_YEAR_MOTHER_OFFSPRING_MEAN": "FARM_YEAR_MOTHER_SAMPLE_COUNT"})  # J8
-    out = dom.crossJoin(rng).crossJoin(agree)
+    out = with_scalars(dom, rng, agree)
     return out.select(*[F.col(c).cast("bigint").alias(c) for c in out.columns])

@@ -13,6 +13,7 @@ from herdflow.session import scratch_path
 from herdflow.sources.io import (file_metadata, land_json, read_back, read_back_check, scan_csv,
                                  scan_json_records, sink)
 from herdflow.sources.tables import table
+from herdflow.operators.joins import with_scalars
 
 CSV_SCHEMA = "n_nationkey INT, n_name STRING, n_regionkey INT, r_name STRING"
 
@@ -45,7 +46,8 @@ def q_csv_roundtrip(spark, sf_dir):
         (F.count_if(F.length("sha256") == 64) == F.count(F.lit(1))).alias("files_hashed"))
     out = (back.join(raw.select(F.col("n_nationkey").cast("int").alias("n_nationkey"),
                                 F.col("n_name").alias("raw_name")), "n_nationkey")
-               .crossJoin(check).crossJoin(pq_check).crossJoin(hashed))
+               )
+    out = with_scalars(out, check, pq_check, hashed)
     return out.select("n_nationkey", "n_name", "r_name", "written_rows", "reread_rows", "missing_after_write",
                       "extra_after_write", "parquet_mismatch", "raw_name", "files_hashed").orderBy("n_nationkey")
 

@@ -14,6 +14,7 @@ from herdflow.plans.common import round_doubles
 from herdflow.plans.lineage_plans import OFFSPRING_SQL, _offspring
 from herdflow.plans.registry import register
 from herdflow.sources.tables import table
+from herdflow.operators.joins import with_scalars
 
 # --------------------------------------------------------------------------
 # Row contract: orders enriched with customer attributes.
@@ -38,7 +39,7 @@ def q_row_contract(spark, sf_dir):
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     c = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
     j = o.join(c, o.o_custkey == c.c_custkey, "left").drop("c_custkey")         # D2 many-to-one
-    counts = o.agg(F.count(F.lit(1)).alias("rows_before")).crossJoin(j.agg(F.count(F.lit(1)).alias("rows_after")))
+    counts = with_scalars(o.agg(F.count(F.lit(1)).alias("rows_before")), j.agg(F.count(F.lit(1)).alias("rows_after")))
     keys = key_violations(c, ["c_custkey"]).drop("duplicate_rows")             # J2
     kept = row_preservation(o, j, ["o_orderkey"], o.columns)                     # J3
     distinct = o.agg(F.count_distinct("o_custkey").alias("distinct_customers"))  # E22
@@ -48,11 +49,11 @@ def q_row_contract(spark, sf_dir):
     off = _offspring(spark, sf_dir)
     mono = quality.monotone_violations(off, ["LINEAGE_NO", "ROLE"], "TARGET_YEAR", "PAST_OFFSPRING_COUNT")
     y0 = off.agg(F.min("TARGET_YEAR").alias("__first"))          # one-row scalar
-    first = off.crossJoin(F.broadcast(y0)).agg(
+    first = with_scalars(off, y0).agg(
         F.count_if((F.col("TARGET_YEAR") == F.col("__first")) & (F.col("PAST_OFFSPRING_COUNT") != 0))
         .alias("nonzero_first_year"))
-    mono = mono.crossJoin(first)
-    out = counts.crossJoin(keys).crossJoin(kept).crossJoin(distinct).crossJoin(mono)
+    mono = with_scalars(mono, first)
+    out = with_scalars(counts, keys, kept, distinct, mono)
     return out.select(*[F.col(c).cast("bigint").alias(c) for c in out.columns])
 
 
@@ -125,14 +126,14 @@ def q_semi_anti_full(spark, sf_dir):
                      F.count_if(F.col("nf").isNull() | F.col("no").isNull()).alias("n_one_sided"))
     ck = c.select(F.col("c_custkey").alias("k"))
     ok = o.select(F.col("o_custkey").alias("k"))
-    sets = (ck.union(ok).distinct().agg(F.count(F.lit(1)).alias("n_key_union"))               # G2
-            .crossJoin(ck.subtract(ok).agg(F.count(F.lit(1)).alias("n_customer_only")))
-            .crossJoin(ok.subtract(ck).agg(F.count(F.lit(1)).alias("n_order_only"))))
+    sets = with_scalars(ck.union(ok).distinct().agg(F.count(F.lit(1)).alias("n_key_union")),     # G2
+                        ck.subtract(ok).agg(F.count(F.lit(1)).alias("n_customer_only")),
+                        ok.subtract(ck).agg(F.count(F.lit(1)).alias("n_order_only")))
     yrs = target_years((o.select(F.year("o_orderdate").alias("y")), "y"),
                        (li.select(F.year("l_shipdate").alias("y")), "y"))                       # G3
     yrs = yrs.select(F.size("__years").cast("bigint").alias("n_years"),
                      F.element_at("__years", 1).cast("int").alias("first_year"))
-    out = semi.crossJoin(anti).crossJoin(fullc).crossJoin(sets).crossJoin(yrs)
+    out = with_scalars(semi, anti, fullc, sets, yrs)
     return out.select(*[F.col(x).cast("bigint").alias(x) if x != "first_year" else F.col(x) for x in out.columns])
 
 
@@ -263,7 +264,7 @@ def q_row_ids(spark, sf_dir):
     # materialised above; the report below is the query's SQL-comparable form.
     report = li.agg(F.count(F.lit(1)).alias("loaded_rows"),
                     F.count_if(N.null_tokens("flag_text").isNull()).alias("dropped_rows"))
-    return ids.drop("idx").crossJoin(check).crossJoin(report)
+    return with_scalars(ids.drop("idx"), check, report)
 
 
 def materialize_ids(df):

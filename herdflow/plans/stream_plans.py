@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from herdflow.functions.text import prefix_id
 from herdflow.plans.registry import register
 from herdflow.session import scratch_path
+from herdflow.operators.joins import with_scalars
 from herdflow.streaming.weather_stream import (daily_weather_stream, file_stream, incremental_append,
                                                run_available_now)
 
@@ -65,5 +66,5 @@ def q_stream_history_append(spark, sf_dir):
                                      F.count_distinct("CATTLE_NO").alias("n_ids"),
                                      F.count_if(F.col("acctbal") < 0).alias("n_negative"))
     # the per-batch counters must reconcile with the appended rows
-    out = out.crossJoin(per_batch).filter(F.col("batch_rows") == F.col("n_rows")).drop("batch_rows")
+    out = with_scalars(out, per_batch).filter(F.col("batch_rows") == F.col("n_rows")).drop("batch_rows")
     return out

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from herdflow.operators.quality import ContractError
+from herdflow.operators.joins import with_scalars
 
 
 def scan_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
@@ -123,11 +124,11 @@ def read_back_check(written: DataFrame, reread: DataFrame) -> DataFrame:
     cols = [c for c in written.columns if c in reread.columns]
     a = written.select(*cols)
     b = reread.select(*[F.col(c).cast(written.schema[c].dataType).alias(c) for c in cols])
-    counts = a.agg(F.count(F.lit(1)).alias("written_rows")).crossJoin(
-        b.agg(F.count(F.lit(1)).alias("reread_rows")))
+    counts = with_scalars(a.agg(F.count(F.lit(1)).alias("written_rows")),
+                          b.agg(F.count(F.lit(1)).alias("reread_rows")))
     only_a = a.exceptAll(b).agg(F.count(F.lit(1)).alias("missing_after_write"))
     only_b = b.exceptAll(a).agg(F.count(F.lit(1)).alias("extra_after_write"))
-    return counts.crossJoin(only_a).crossJoin(only_b)
+    return with_scalars(counts, only_a, only_b)
 
 
 def file_metadata(spark: SparkSession, pattern: str) -> DataFrame:
