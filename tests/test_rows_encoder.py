@@ -56,6 +56,17 @@ def test_small_helpers(spark):
     assert series.select_channels(ser, "S", "OT").count() == 1 and series.select_channels(ser, "M").count() == 2
 
 
+def test_with_scalars_no_join(spark):
+    df = spark.range(5)
+    stats = df.agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    total = df.agg(F.count(F.lit(1)).alias("n"))
+    out = joins.with_scalars(df, stats, total)
+    assert out.columns == ["id", "lo", "hi", "n"]
+    assert {(r.lo, r.hi, r.n) for r in out.collect()} == {(0, 4, 5)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "Cartesian" not in plan
+
+
 def test_bounded_broadcast(spark):
     small = spark.range(10).withColumn("x", F.col("id") * 2)
     df, hinted = joins.bounded_broadcast(small, max_bytes=10_000)
