@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from herdflow.functions.dates import cyclic_free_features, int_time_features, time_features
+from herdflow.functions.dates import int_time_features, time_features
 from herdflow.operators.joins import with_scalars
 
 
@@ -222,5 +222,3 @@ def forecast_scores(df: DataFrame, *, pred: str, true: str, group: Sequence[str]
     return pairs.groupBy(*group).agg(F.avg(d * d).alias("mse"), F.avg(F.abs(d)).alias("mae"),
                                      F.count(F.lit(1)).alias("n_steps"))
 
-
-__all__ = [name for name in dir() if not name.startswith("_")] + ["cyclic_free_features"]

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from herdflow.functions.nulls import MISSING_WEATHER
 from herdflow.operators.weather import (DAILY_VARS, ROLLING_VARS, ROLLING_WINDOWS, complete_daily,
                                         daily_output, hourly_to_daily, monthly_weather,
                                         parse_observation_lines, rolling_features, station_day_grid)
@@ -134,5 +133,3 @@ def q_monthly_weather(spark, sf_dir):
     out = monthly_weather(d)
     return round_doubles(out.withColumn("month", F.date_format("month", "yyyy-MM")))
 
-
-assert MISSING_WEATHER == -99.0
