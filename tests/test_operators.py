@@ -104,6 +104,9 @@ def test_lookup_default_and_impute(spark):
     got = {r.k: r.out for r in lineage.lookup_with_default(main, lk, keys=[("k", "k2"), ("y", "y2")],
                                                            value="v", out="out").collect()}
     assert got == {"a": 5, "b": 0, None: None}
+    reduced = {r.k: r.out for r in lineage.lookup_with_default(main, lk, keys=[("k", "k2"), ("y", "y2")],
+                                                               value="v", out="out", reduce_lookup=True).collect()}
+    assert reduced == got
     rows = spark.createDataFrame([("f", 2020, 1.0), ("f", 2020, 2.0), ("f", 2020, 4.0), ("f", 2020, None),
                                   ("g", 2020, None), ("g", 2020, 1.0)], "farm string, y int, v double")
     means = lineage.farm_year_means(rows, farm="farm", year="y", values=["v"])
