@@ -7,12 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from herdflow.llm import mixing, shard_tree
+from herdflow.llm import mixing, quality_rules, secret_scan, shard_tree
 from herdflow.llm.common import documents
+from herdflow.sources.tables import table
 
 SHARDS = 16
 
 
+def op7_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted quality rules and the hashed n-gram ratio of all documents."""
+    return quality_rules.quality_table(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pfair mix of all documents to the default target weights."""
     return mixing.mix_schedule(documents(spark, sf_dir))
@@ -23,10 +29,17 @@ def op9_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.shard_table(documents(spark, sf_dir), SHARDS)
 
 
+def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents by fixed patterns and Markov models."""
+    return secret_scan.secret_table(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_ngram_quality": op7_ngram_quality,
         "op8_pfair_mixing": op8_pfair_mixing,
         "op9_hash_tree_shards": op9_hash_tree_shards,
+        "op10_markov_secrets": op10_markov_secrets,
     }
 
 
