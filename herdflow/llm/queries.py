@@ -7,11 +7,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from herdflow.llm import mixing, quality_rules, secret_scan, shard_tree
+from herdflow.llm import bpe_count, mixing, quality_rules, secret_scan, shard_tree, simhash
 from herdflow.llm.common import documents
 from herdflow.sources.tables import table
 
 SHARDS = 16
+VOCABULARY = "byte_bpe_50k.json"
+TOKEN_LIMIT = 1024
+
+
+def op3_heap_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    import public_tokenizers
+
+    return bpe_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), limit=TOKEN_LIMIT)
+
+
+def op4_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of all documents."""
+    return simhash.simhash_components(documents(spark, sf_dir))
 
 
 def op7_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +50,8 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_heap_bpe_tokens": op3_heap_bpe_tokens,
+        "op4_simhash_tiles": op4_simhash_tiles,
         "op7_ngram_quality": op7_ngram_quality,
         "op8_pfair_mixing": op8_pfair_mixing,
         "op9_hash_tree_shards": op9_hash_tree_shards,
