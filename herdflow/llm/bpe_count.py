@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -114,19 +115,20 @@ def text_counter(ranks, specials: list[str]):
     return tokens
 
 
-_COUNTERS: dict[int, object] = {}
+_COUNTERS: dict[str, object] = {}
 
 
 def count_tokens(docs: DataFrame, path: str, *, limit: int = 1024, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """One row per document: UTF-8 bytes, tokens, and whether they exceed ``limit``."""
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))  # a fixed vocabulary file
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.id not in _COUNTERS:  # one per worker process: what it remembers serves later tasks
+        if name not in _COUNTERS:  # one per worker process: what it remembers serves later tasks
             _COUNTERS.clear()
-            _COUNTERS[shared.id] = text_counter(*shared.value)
-        tokens = _COUNTERS[shared.id]
+            _COUNTERS[name] = text_counter(*shared.value)
+        tokens = _COUNTERS[name]
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()),

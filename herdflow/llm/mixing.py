@@ -28,7 +28,9 @@ or with weight 0 is out of the mix; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from herdflow.llm.common import key_text, spread_rank
@@ -92,31 +94,47 @@ def period_schedule(plan: DataFrame) -> DataFrame:
     return picks.select("s", F.col("t").cast("long").alias("t"), nth.cast("long").alias("j"))
 
 
-def mix_schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, *, id_col: str = "doc_id",
-                 source_col: str = "source", block_rows: int = BLOCK_ROWS, hot_factor: float = HOT_FACTOR,
-                 period: int = PERIOD) -> DataFrame:
-    """One row per document: source, its block there, the block's release,
-    deadline and slot, the row's place in the block, and ``in_mix``. Ordering
-    by (slot, place) is the mixed sequence."""
+def _scheduled(docs: DataFrame, weights, carried: Sequence[Column], *, id_col: str, source_col: str,
+               block_rows: int, hot_factor: float, period: int) -> DataFrame:
+    """Every row's block, window and slot, with ``carried``."""
     digest = F.md5(F.concat(F.lit("mix:"), key_text(id_col)))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"),
-                       source_key(source_col).alias("__source"), digest.alias("__digest"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("__key"), source_key(source_col).alias("__source"),
+                       digest.alias("__digest"), *carried)
     plan = source_plan(rows, weights, hot_factor, period)
     times = period_schedule(plan)
     slots = plan.agg(F.sum("k").alias("slots"))
-    ranked = spread_rank(rows, rows, "__source", "__digest", ["doc_id"], "__rank")
+    ranked = spread_rank(rows, rows, "__source", "__digest", ["__key"], "__rank")
     ranked = ranked.join(F.broadcast(plan.withColumnRenamed("__source", "__plan_source")),  # one row per source
                          F.col("__source") == F.col("__plan_source"), "left")
     ranked = ranked.withColumn("in_mix", F.coalesce(F.col("__rank") < F.col("take"), F.lit(False)))
     ranked = ranked.withColumn("block", F.when(F.col("in_mix"), F.expr(f"__rank div {int(block_rows)}")))
+    ranked = ranked.withColumn("place", F.when(F.col("in_mix"), F.expr(f"__rank % {int(block_rows)}")))
     ranked = ranked.select("*", slots.scalar().alias("slots"))
     ranked = ranked.withColumn("__j", F.expr("block % k")).withColumn("__p", F.expr("block div k"))
     timed = ranked.join(F.broadcast(times.select(F.col("s").alias("__s"), F.col("j").alias("__tj"),
                                                  F.col("t").alias("__t"))),  # at most period + sources rows
                         (F.col("s") == F.col("__s")) & (F.col("__j") == F.col("__tj")), "left")
-    return timed.select(
-        "doc_id", "source", "in_mix", F.col("w").alias("target_weight"), "block",
-        F.expr("__p * slots + (__j * slots) div k").alias("release"),
-        F.expr("__p * slots + ((__j + 1) * slots + k - 1) div k").alias("deadline"),
-        F.expr("__p * slots + __t").alias("slot"),
-        F.when(F.col("in_mix"), F.expr(f"__rank % {int(block_rows)}")).alias("place"))
+    return timed.withColumns({"release": F.expr("__p * slots + (__j * slots) div k"),
+                              "deadline": F.expr("__p * slots + ((__j + 1) * slots + k - 1) div k"),
+                              "slot": F.expr("__p * slots + __t")})
+
+
+def mix_schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, *, id_col: str = "doc_id",
+                 source_col: str = "source", block_rows: int = BLOCK_ROWS, hot_factor: float = HOT_FACTOR,
+                 period: int = PERIOD) -> DataFrame:
+    """One row per document: source, its block there, the block's release,
+    deadline and slot, the row's place in the block, and ``in_mix``. Ordering
+    by (slot, place) is the mixed sequence."""
+    rows = _scheduled(docs, weights, [F.col(f"`{source_col}`").alias("source")], id_col=id_col, source_col=source_col,
+                      block_rows=block_rows, hot_factor=hot_factor, period=period)
+    return rows.select(F.col("__key").alias("doc_id"), "source", "in_mix", F.col("w").alias("target_weight"), "block",
+                       "release", "deadline", "slot", "place")
+
+
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, *, id_col: str = "doc_id",
+          source_col: str = "source", block_rows: int = BLOCK_ROWS, hot_factor: float = HOT_FACTOR,
+          period: int = PERIOD) -> DataFrame:
+    """The documents of the mix with their own columns, in mixed sequence."""
+    rows = _scheduled(docs, weights, [F.struct("*").alias("__doc")], id_col=id_col, source_col=source_col,
+                      block_rows=block_rows, hot_factor=hot_factor, period=period)
+    return rows.filter("in_mix").orderBy("slot", "place").select("__doc.*")

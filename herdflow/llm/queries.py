@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from herdflow.llm import bpe_count, mixing, quality_rules, secret_scan, shard_tree, simhash
+from herdflow.llm import bpe_count, decontam, mixing, quality_rules, secret_scan, shard_tree, simhash
 from herdflow.llm.common import documents
 from herdflow.sources.tables import table
 
@@ -16,6 +17,15 @@ VOCABULARY = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
 
 
+def op2_pigeonhole_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in all documents within the error budget."""
+    found = decontam.contaminations(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    n = F.size("matches")
+    return found.select("doc_id", (n > 0).alias("contaminated"), n.cast("long").alias("n_items"),
+                        F.transform("matches", lambda x: x["item"]).alias("item_ids"),
+                        F.array_min(F.transform("matches", lambda x: x["errors"])).alias("least_errors"))
+
+
 def op3_heap_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     import public_tokenizers
@@ -48,14 +58,23 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_table(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pigeonhole_decontam": op2_pigeonhole_decontam,
         "op3_heap_bpe_tokens": op3_heap_bpe_tokens,
         "op4_simhash_tiles": op4_simhash_tiles,
         "op7_ngram_quality": op7_ngram_quality,
         "op8_pfair_mixing": op8_pfair_mixing,
         "op9_hash_tree_shards": op9_hash_tree_shards,
         "op10_markov_secrets": op10_markov_secrets,
+        "pipeline": pipeline,
     }
 
 

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdflow.llm.common import key_text, spread_rank, text_or_empty
+from herdflow.llm.common import free_name, key_text, spread_rank, text_or_empty
 
 SHARDS_PER_RACK = 4
 RACKS_PER_REGION = 2
@@ -84,18 +84,31 @@ def assign_shards(df: DataFrame, key: Column, trees: dict[str, Sequence[Leaf]])
     return drawn.select(*own, *picks)
 
 
+def _slots(docs: DataFrame, shards: int, id_col: str, text_col: str, carried: Sequence[Column]) -> DataFrame:
+    """Size, checksum, shard, slot and grown shard of every row, with ``carried``."""
+    trees = {"shard": even_tree(shards), "grown_shard": even_tree(shards + 1)}
+    text = text_or_empty(text_col)
+    digest = F.md5(F.concat(F.lit("slot:"), key_text(id_col)))
+    key = F.col(f"`{id_col}`").alias("__key")
+    rows = docs.select(key, (F.octet_length(text) + 1).cast("long").alias("size"),
+                       F.crc32(text.cast("binary")).alias("text_crc32"), digest.alias("__digest"), *carried)
+    counted = docs.select(key, digest.alias("__digest"))
+    return spread_rank(assign_shards(rows, key_text("__key"), trees),
+                       assign_shards(counted, key_text("__key"), {"shard": trees["shard"]}),
+                       "shard", "__digest", ["__key", "size", "text_crc32"], "slot")
+
+
 def shard_table(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its shard among ``shards``, its slot there (0, 1,
     ... in hash order), and its shard once one more is added."""
-    trees = {"shard": even_tree(shards), "grown_shard": even_tree(shards + 1)}
-    key = key_text(id_col)
-    text = text_or_empty(text_col)
-    digest = F.md5(F.concat(F.lit("slot:"), key))
-    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"),
-                       (F.octet_length(text) + 1).cast("long").alias("size"),
-                       F.crc32(text.cast("binary")).alias("text_crc32"), digest.alias("__digest"))
-    rows = assign_shards(base, key_text("doc_id"), trees)
-    counted = assign_shards(docs.select(F.col(f"`{id_col}`").alias("doc_id"), digest.alias("__digest")),
-                            key_text("doc_id"), {"shard": trees["shard"]})
-    ranked = spread_rank(rows, counted, "shard", "__digest", ["doc_id", "size", "text_crc32"], "slot")
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    rows = _slots(docs, shards, id_col, text_col, [])
+    return rows.select(F.col("__key").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard",
+                       "slot", "grown_shard")
+
+
+def place_in_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with their own columns, and their shard and slot (under
+    names that start with underscores where those are taken)."""
+    rows = _slots(docs, shards, id_col, text_col, [F.struct("*").alias("__doc")])
+    return rows.select("__doc.*", F.col("shard").alias(free_name(docs, "shard")),
+                       F.col("slot").alias(free_name(docs, "slot")))
