@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdflow.llm import bpe_count, decontam, mixing, quality_rules, secret_scan, shard_tree, simhash
+from herdflow.llm import bpe_count, decontam, mixing, quality_rules, rindex, secret_scan, shard_tree, simhash
 from herdflow.llm.common import documents
 from herdflow.sources.tables import table
 
@@ -17,6 +17,11 @@ VOCABULARY = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
 
 
+def op1_rindex_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """200-byte repeats of all documents, removed."""
+    return rindex.repeated_spans(documents(spark, sf_dir)).drop("spans")
+
+
 def op2_pigeonhole_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in all documents within the error budget."""
     found = decontam.contaminations(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
@@ -67,6 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_rindex_repeats": op1_rindex_repeats,
         "op2_pigeonhole_decontam": op2_pigeonhole_decontam,
         "op3_heap_bpe_tokens": op3_heap_bpe_tokens,
         "op4_simhash_tiles": op4_simhash_tiles,
