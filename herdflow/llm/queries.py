@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdflow.llm import bpe_count, decontam, kneser_ney, mixing, quality_rules, rindex, secret_scan, shard_tree, simhash
+from herdflow.llm import bpe_count, byte_cnn, decontam, kneser_ney, mixing, quality_rules, rindex, secret_scan, shard_tree, simhash
 from herdflow.llm.common import documents
 from herdflow.sources.tables import table
 
@@ -43,6 +43,11 @@ def op4_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir))
 
 
+def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by the byte-level network."""
+    return byte_cnn.score_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by the bigram model of those not held out."""
     return kneser_ney.score_corpus(documents(spark, sf_dir))
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pigeonhole_decontam": op2_pigeonhole_decontam,
         "op3_heap_bpe_tokens": op3_heap_bpe_tokens,
         "op4_simhash_tiles": op4_simhash_tiles,
+        "op5_byte_cnn": op5_byte_cnn,
         "op6_kneser_ney": op6_kneser_ney,
         "op7_ngram_quality": op7_ngram_quality,
         "op8_pfair_mixing": op8_pfair_mixing,
