@@ -35,7 +35,7 @@ TRAIN_ROWS = 1_500
 CHUNK, STEP = 1024, 896
 WIDTH, STRIDE = 8, 4
 EMBED, FILTERS, UNITS = 8, 24, 16
-EPOCHS, ROWS_A_STEP, RATE = 8, 32, 0.01
+STEPS, ROWS_A_STEP, RATE = 800, 32, 0.01
 BLOCK = 128  # chunks computed at a time
 SEED = 7
 
@@ -142,18 +142,17 @@ def fit(texts: list[bytes], labels: list[int], shares: list[float]) -> ByteCnn:
         mean = float(np.clip((y * share).sum() / share.sum(), 0.01, 0.99))
         net.weights["out_bias"][0] = np.log(mean / (1 - mean))
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.weights.items()}
-    step, steps = 0, EPOCHS * -(-len(y) // ROWS_A_STEP)
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(y))
-        for i in range(0, len(y), ROWS_A_STEP):
-            rows = order[i:i + ROWS_A_STEP]
-            g = net.gradients([chunks_of(texts[k]) for k in rows], y[rows], share[rows])
-            step += 1
-            rate = RATE * (1 - step / (steps + 1))
-            for k, (m, v) in moment.items():
-                m += 0.1 * (g[k] - m)
-                v += 0.001 * (g[k] ** 2 - v)
-                net.weights[k] -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+    order = np.zeros(0, np.int64)
+    for step in range(1, STEPS + 1 if len(y) else 1):
+        if not len(order):
+            order = rng.permutation(len(y))
+        rows, order = order[:ROWS_A_STEP], order[ROWS_A_STEP:]
+        g = net.gradients([chunks_of(texts[k]) for k in rows], y[rows], share[rows])
+        rate = RATE * (1 - step / (STEPS + 1))
+        for k, (m, v) in moment.items():
+            m += 0.1 * (g[k] - m)
+            v += 0.001 * (g[k] ** 2 - v)
+            net.weights[k] -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
     return net
 
 
