@@ -9,7 +9,7 @@ of ordinary identifiers: the mean over its character pairs of
 The models come from labelled samples taken from the documents of at most
 ``SAMPLE_ROWS`` keys (lowest hash), the bound of the sample: ordinary ones are
 the documents' shorter words (``SHORT_WORD`` to ``MIN_RUN - 1`` key
-characters), random ones are digests of their keys written in base 64 and in
+characters) and plain numbers, random ones are digests of their keys written in base 64 and in
 lower- and upper-case hexadecimal. Only pair counts leave the cluster (at most
 ``len(ALPHABET) ** 2`` per model).
 
@@ -45,6 +45,7 @@ MIN_RUN = 16
 SHORT_WORD = 4
 SAMPLE_ROWS = 5_000
 SMOOTHING = 0.5
+BACK_OFF = 8.0
 THRESHOLD = 0.8
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -92,11 +93,14 @@ def _pair_counts(strings: DataFrame) -> list[int]:
 
 
 def _conditional(counts: list[int]) -> list[float]:
+    """p(b | a) of every pair, smoothed towards p(b)."""
     k, out = len(ALPHABET), []
+    seen = [sum(counts[b::k]) for b in range(k)]
+    alone = [(n + SMOOTHING) / (sum(seen) + SMOOTHING * k) for n in seen]
     for a in range(k):
         row = counts[a * k:(a + 1) * k]
-        total = sum(row) + SMOOTHING * k
-        out += [(n + SMOOTHING) / total for n in row]
+        total = sum(row) + BACK_OFF
+        out += [(n + BACK_OFF * p) / total for n, p in zip(row, alone, strict=True)]
     return out
 
 
@@ -112,7 +116,8 @@ def markov_ratios(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(F.col(f"`{id_col}`").alias("__doc"), text_or_empty(text_col).alias("__t")).join(
         F.broadcast(ids), F.col("__doc") == F.col("__id"), "left_semi")  # at most ``rows`` keys
     runs = texts.select(F.explode(F.regexp_extract_all("__t", F.lit("[A-Za-z0-9+/_=-]+"), F.lit(0))).alias("s"))
-    ordinary = runs.filter(F.length("s").between(SHORT_WORD, MIN_RUN - 1))
+    numbers = ids.select(F.regexp_replace(F.xxhash64("__id").cast("string"), "-", "").alias("s"))
+    ordinary = runs.filter(F.length("s").between(SHORT_WORD, MIN_RUN - 1)).unionByName(numbers)
     random_p, ordinary_p = _conditional(_pair_counts(digests)), _conditional(_pair_counts(ordinary))
     return [math.log(r / o) for r, o in zip(random_p, ordinary_p, strict=True)]
 
