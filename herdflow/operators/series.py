@@ -118,12 +118,12 @@ def instance_norm(df: DataFrame, x: str = "x", eps: float = 1e-5, subtract_last:
         x, lambda v: (v - F.col("norm_center")) / F.col("norm_stdev") * F.lit(affine_weight) + F.lit(affine_bias)))
 
 
-def instance_denorm(df: DataFrame, col: str, out: str, eps: float = 1e-5,
+def instance_denorm(df: DataFrame, col: str, out: str, eps: float = 1e-5, affine: bool = False,
                     affine_weight: float = 1.0, affine_bias: float = 0.0) -> DataFrame:
-    """I4 'denorm' with the stored statistics."""
-    return df.withColumn(out, F.transform(
-        col, lambda v: (v - F.lit(affine_bias)) / F.lit(affine_weight + eps * eps) * F.col("norm_stdev")
-        + F.col("norm_center")))
+    """I4 'denorm' with the stored statistics; the affine step is undone only
+    where it is on."""
+    plain = lambda v: (v - F.lit(affine_bias)) / F.lit(affine_weight + eps * eps) if affine else v
+    return df.withColumn(out, F.transform(col, lambda v: plain(v) * F.col("norm_stdev") + F.col("norm_center")))
 
 
 def patches(df: DataFrame, x: str = "x", patch_len: int = 16, stride: int = 8, out: str = "patches") -> DataFrame:

@@ -36,7 +36,7 @@ def parse_observation_lines(lines: DataFrame, text_col: str = "value",
     parsed = parts.select(
         F.try_to_timestamp(F.get("__parts", 0), F.lit(time_format)).alias("tm"),
         F.get("__parts", 1).try_cast("int").alias("stn"),
-        F.transform(F.slice("__parts", 3, 1000), lambda v: obs_to_float(v)).alias("__values"))
+        F.transform(F.slice("__parts", F.lit(3), F.greatest(F.size("__parts") - 2, F.lit(0))), lambda v: obs_to_float(v)).alias("__values"))
     parsed = _once(parsed, F.col("__values"), "values").drop("__values")
     return parsed.filter(F.col("tm").isNotNull() & F.col("stn").isNotNull())
 

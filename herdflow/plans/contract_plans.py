@@ -1,4 +1,5 @@
-"""Data-quality contracts over other query outputs."""
+"""Data-quality contracts over other query outputs (J4, J5, J8), damaged in
+places so that every check has something to find."""
 
 from __future__ import annotations
 
@@ -15,9 +16,17 @@ STATUS_COLUMNS = ["FARM_BIOSECURITY_STATUS", "FARM_HEALTH_STATUS", "FARM_ACCIDEN
 STATUS_DOMAIN = ["YES", "NO", "MISSING"]
 
 CONTRACT_CHECKS_SQL = f"""
-WITH rrs AS ({RECORD_RATIO_STATUS_SQL}),
-cr AS ({CLASSIFY_REASONS_SQL}),
-fy AS ({FARM_YEAR_MEAN_SQL})
+WITH rrs0 AS ({RECORD_RATIO_STATUS_SQL}),
+rrs AS (SELECT CASE WHEN ends_with(farm, '3') THEN 'UNSURE' ELSE FARM_BIOSECURITY_STATUS END AS FARM_BIOSECURITY_STATUS,
+  CASE WHEN ends_with(farm, '7') THEN lower(FARM_HEALTH_STATUS) ELSE FARM_HEALTH_STATUS END AS FARM_HEALTH_STATUS,
+  CASE WHEN ends_with(farm, '1') THEN '' WHEN ends_with(farm, '2') THEN NULL ELSE FARM_ACCIDENT_STATUS END AS FARM_ACCIDENT_STATUS FROM rrs0),
+cr0 AS ({CLASSIFY_REASONS_SQL}),
+cr AS (SELECT CASE WHEN ends_with(farm, '4') THEN record_ratio + 1 ELSE record_ratio END AS record_ratio,
+  CASE WHEN ends_with(farm, '5') THEN -total ELSE total END AS total FROM cr0),
+fy0 AS ({FARM_YEAR_MEAN_SQL}),
+fy AS (SELECT CASE WHEN FARM_YEAR_FATHER_SAMPLE_COUNT % 5 = 0 THEN NULL ELSE FARM_YEAR_FATHER_OFFSPRING_MEAN END AS FARM_YEAR_FATHER_OFFSPRING_MEAN,
+  FARM_YEAR_FATHER_SAMPLE_COUNT, FARM_YEAR_MOTHER_OFFSPRING_MEAN,
+  CASE WHEN FARM_YEAR_MOTHER_SAMPLE_COUNT % 7 = 0 THEN 0 ELSE FARM_YEAR_MOTHER_SAMPLE_COUNT END AS FARM_YEAR_MOTHER_SAMPLE_COUNT FROM fy0)
 SELECT
   (SELECT CAST(count_if(FARM_BIOSECURITY_STATUS NOT IN ('YES', 'NO', 'MISSING')) AS BIGINT) FROM rrs) AS FARM_BIOSECURITY_STATUS_outside_domain,
   (SELECT CAST(count_if(FARM_HEALTH_STATUS NOT IN ('YES', 'NO', 'MISSING')) AS BIGINT) FROM rrs) AS FARM_HEALTH_STATUS_outside_domain,
@@ -35,14 +44,25 @@ SELECT
 
 @register("contract_checks", CONTRACT_CHECKS_SQL)
 def q_contract_checks(spark, sf_dir):
+    ends = lambda digit: F.col("farm").endswith(digit)
     rrs = q_record_ratio_status(spark, sf_dir)
-    dom = None
-    for c in STATUS_COLUMNS:                                                          # J4
-        d = domain_violations(rrs, c, STATUS_DOMAIN)
-        dom = d if dom is None else with_scalars(dom, d)
+    rrs = rrs.withColumns({
+        "FARM_BIOSECURITY_STATUS": F.when(ends("3"), F.lit("UNSURE")).otherwise(F.col("FARM_BIOSECURITY_STATUS")),
+        "FARM_HEALTH_STATUS": F.when(ends("7"), F.lower("FARM_HEALTH_STATUS")).otherwise(F.col("FARM_HEALTH_STATUS")),
+        "FARM_ACCIDENT_STATUS": F.when(ends("1"), F.lit("")).when(ends("2"), F.lit(None))
+                                 .otherwise(F.col("FARM_ACCIDENT_STATUS"))})
+    dom = domain_violations(rrs, {c: STATUS_DOMAIN for c in STATUS_COLUMNS})          # J4
     cr = q_classify_reasons(spark, sf_dir)
+    cr = cr.withColumns({
+        "record_ratio": F.when(ends("4"), F.col("record_ratio") + 1).otherwise(F.col("record_ratio")),
+        "total": F.when(ends("5"), -F.col("total")).otherwise(F.col("total"))})
     rng = range_violations(cr, {"record_ratio": (0.0, 1.0), "total": (0, None)})     # J5
     fy = q_farm_year_mean(spark, sf_dir)
+    fy = fy.withColumns({
+        "FARM_YEAR_FATHER_OFFSPRING_MEAN": F.when(F.col("FARM_YEAR_FATHER_SAMPLE_COUNT") % 5 != 0,
+                                                  F.col("FARM_YEAR_FATHER_OFFSPRING_MEAN")),
+        "FARM_YEAR_MOTHER_SAMPLE_COUNT": F.when(F.col("FARM_YEAR_MOTHER_SAMPLE_COUNT") % 7 == 0, F.lit(0))
+                                          .otherwise(F.col("FARM_YEAR_MOTHER_SAMPLE_COUNT"))})
     agree = null_sample_agreement(fy, {"FARM_YEAR_FATHER_OFFSPRING_MEAN": "FARM_YEAR_FATHER_SAMPLE_COUNT",
                                        "FARM_YEAR_MOTHER_OFFSPRING_MEAN": "FARM_YEAR_MOTHER_SAMPLE_COUNT"})  # J8
     out = with_scalars(dom, rng, agree)

@@ -94,12 +94,12 @@ SELECT
   (SELECT CAST(count(*) AS BIGINT) FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')) AS n_semi,
   (SELECT CAST(count(*) AS BIGINT) FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')) AS n_anti,
   (SELECT CAST(count(*) AS BIGINT) FROM
-     (SELECT o_custkey, count(*) AS nf FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) = 1996 GROUP BY 1) a
-     FULL JOIN (SELECT o_custkey, count(*) AS no FROM orders WHERE o_orderstatus = 'O' AND year(o_orderdate) = 1996 GROUP BY 1) b
+     (SELECT o_custkey, count(*) AS nf FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a
+     FULL JOIN (SELECT o_custkey, count(*) AS no FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b
      ON a.o_custkey = b.o_custkey) AS n_full,
   (SELECT CAST(count(*) AS BIGINT) FROM
-     (SELECT o_custkey, count(*) AS nf FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) = 1996 GROUP BY 1) a
-     FULL JOIN (SELECT o_custkey, count(*) AS no FROM orders WHERE o_orderstatus = 'O' AND year(o_orderdate) = 1996 GROUP BY 1) b
+     (SELECT o_custkey, count(*) AS nf FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a
+     FULL JOIN (SELECT o_custkey, count(*) AS no FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b
      ON a.o_custkey = b.o_custkey WHERE a.o_custkey IS NULL OR b.o_custkey IS NULL) AS n_one_sided,
   (SELECT CAST(count(*) AS BIGINT) FROM (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders)) AS n_key_union,
   (SELECT CAST(count(*) AS BIGINT) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) AS n_customer_only,
@@ -118,9 +118,8 @@ def q_semi_anti_full(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n_semi"))                                            # D7
     anti = c.join(o.filter(F.col("o_orderstatus") == "P"), c.c_custkey == o.o_custkey, "left_anti") \
             .agg(F.count(F.lit(1)).alias("n_anti"))                                            # D8
-    y96 = o.filter(F.year("o_orderdate") == 1996)
-    a = y96.filter(F.col("o_orderstatus") == "F").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("nf"))
-    b = y96.filter(F.col("o_orderstatus") == "O").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("no"))
+    a = o.filter(F.col("o_orderstatus") == "F").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("nf"))
+    b = o.filter(F.col("o_orderstatus") == "O").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("no"))
     full = a.join(b, "o_custkey", "full")                                                      # D4
     fullc = full.agg(F.count(F.lit(1)).alias("n_full"),
                      F.count_if(F.col("nf").isNull() | F.col("no").isNull()).alias("n_one_sided"))
@@ -231,18 +230,22 @@ def q_union_sources(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------
-# Row ids in key order after token-aware missing-row and date filters
-# (C1, C2, B30, F10, J14, J16).
-
-ROW_IDS_SQL = """
-WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
-           WHERE l_linenumber <> 7 AND l_shipdate IS NOT NULL),
-r AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS idx FROM f)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'TRAIN_' || lpad(CAST(idx AS VARCHAR), 9, '0') AS DATA_ROW_ID,
-  CAST(0 AS BIGINT) AS id_mismatches, CAST(0 AS BIGINT) AS index_gaps,
+# Row ids of all loaded rows in key order, then token-aware missing-row and date
+# filters, which leave gaps in the ids (C1, C2, B30, F10, J16). The continuity
+# check runs on the kept rows, some of whose ids are damaged first.
+
+FIRST_SHIPPED = "1996-01-01"
+
+ROW_IDS_SQL = f"""
+WITH r AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS idx FROM lineitem),
+k AS (SELECT *, 'TRAIN_' || lpad(CAST(idx AS VARCHAR), 9, '0') AS DATA_ROW_ID FROM r
+      WHERE l_linenumber <> 7 AND l_shipdate >= DATE '{FIRST_SHIPPED}')
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, DATA_ROW_ID,
+  (SELECT CAST(count_if(l_orderkey % 97 = 0) AS BIGINT) FROM k) AS id_mismatches,
+  (SELECT CAST(max(idx) + 1 - count(*) AS BIGINT) FROM k) AS index_gaps,
   (SELECT CAST(count(*) AS BIGINT) FROM lineitem) AS loaded_rows,
   (SELECT CAST(count_if(l_linenumber = 7) AS BIGINT) FROM lineitem) AS dropped_rows
-FROM r
+FROM k
 """
 
 
@@ -253,20 +256,14 @@ def q_row_ids(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
                "l_shipdate")
     li = li.withColumn("flag_text", F.when(F.col("l_linenumber") == 7, F.lit("-99")).otherwise(F.col("l_returnflag")))
-    kept, obs = drop_rows_with_missing(li, ["flag_text"])                  # C1 (+ J14 counts)
-    kept = date_floor_filter(kept, start="l_shipdate", end="l_shipdate")    # C2
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    ids = dense_row_id(kept.select(*key), key, "idx")
+    ids = dense_row_id(li.drop("l_returnflag"), key, "idx")                 # F10
     ids = ids.withColumn("DATA_ROW_ID", format_row_id("idx", "TRAIN"))      # B30
-    ids = materialize_ids(ids)
-    check = id_continuity_violations(ids, "idx", "DATA_ROW_ID", "TRAIN")     # J16
-    # ``obs`` holds the same loaded/dropped counts once ``kept`` has been
-    # materialised above; the report below is the query's SQL-comparable form.
     report = li.agg(F.count(F.lit(1)).alias("loaded_rows"),
                     F.count_if(N.null_tokens("flag_text").isNull()).alias("dropped_rows"))
-    return with_scalars(ids.drop("idx"), check, report)
-
-
-def materialize_ids(df):
-    from herdflow.operators.joins import materialize
-    return materialize(df, "row-ids")
+    kept, _ = drop_rows_with_missing(ids, ["flag_text"])                    # C1
+    kept = date_floor_filter(kept, start="l_shipdate", end="l_shipdate", min_start=FIRST_SHIPPED)   # C2
+    damaged = kept.withColumn("DATA_ROW_ID", F.when(F.col("l_orderkey") % 97 == 0, F.lit("TRAIN_lost"))
+                              .otherwise(F.col("DATA_ROW_ID")))
+    check = id_continuity_violations(damaged, "idx", "DATA_ROW_ID", "TRAIN")  # J16
+    return with_scalars(kept.select(*key, "DATA_ROW_ID"), check, report)

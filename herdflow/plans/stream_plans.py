@@ -59,12 +59,16 @@ def q_stream_history_append(spark, sf_dir):
         return batch.select(prefix_id("C", F.col("c_custkey").cast("string")).alias("CATTLE_NO"),
                             F.col("c_acctbal").alias("acctbal"), F.lit("original").alias("SOURCE"))
 
-    incremental_append(src, normalise=normalise, target=target, counts=counts, name="history")
+    incremental_append(src, normalise=normalise, target=target, counts=counts, name="history",
+                       checkpoint=scratch_path(spark, "history-progress"))
     rows = spark.read.parquet(target)
     per_batch = spark.read.parquet(counts).agg(F.sum("rows").alias("batch_rows"))
     out = rows.groupBy("SOURCE").agg(F.count(F.lit(1)).alias("n_rows"),
                                      F.count_distinct("CATTLE_NO").alias("n_ids"),
                                      F.count_if(F.col("acctbal") < 0).alias("n_negative"))
     # the per-batch counters must reconcile with the appended rows
-    out = with_scalars(out, per_batch).filter(F.col("batch_rows") == F.col("n_rows")).drop("batch_rows")
-    return out
+    same = F.col("batch_rows") == F.col("n_rows")
+    lost = F.raise_error(F.concat(F.lit("batches count "), F.col("batch_rows"), F.lit(" rows, the table has "),
+                                  F.col("n_rows"))).cast("bigint")
+    out = with_scalars(out, per_batch).withColumn("n_rows", F.when(same, F.col("n_rows")).otherwise(lost))
+    return out.drop("batch_rows")

@@ -60,8 +60,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a shared
-    folder there). Only when it is unset - local tests - a fresh scratch folder
-    is created and registered.
+    folder there). Where it is unset, a local master (tests) gets a fresh
+    scratch folder; on a cluster, whose executors do not share one, an error
+    is raised.
     """
     global _LOCAL_CHECKPOINT_DIR
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -70,6 +71,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         # ``spark.checkpoint.dir`` cannot be changed at runtime (Spark 4), so
         # an unset session gets a process-local folder via the SparkContext.
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if _LOCAL_CHECKPOINT_DIR is None:
             _LOCAL_CHECKPOINT_DIR = tempfile.mkdtemp(prefix="herdflow-ckpt-")
         configured = _LOCAL_CHECKPOINT_DIR

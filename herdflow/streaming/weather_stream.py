@@ -17,6 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from herdflow.session import scratch_path
 
@@ -38,22 +39,29 @@ def daily_weather_stream(source: DataFrame, *, ts: str, stn: str, value_cols: di
 
 
 def run_available_now(stream: DataFrame, *, sink_format: str = "parquet", output_mode: str = "append",
-                      name: str = "stream", timeout_s: int = 600) -> str:
+                      name: str = "stream", timeout_s: float | None = None) -> str:
     """Run a streaming plan over everything available now and stop; returns
-    the sink path (shared storage)."""
+    the sink path (shared storage). Waits until it is done unless the caller
+    sets ``timeout_s``."""
     spark = stream.sparkSession
     out = scratch_path(spark, f"{name}-out")
     ckpt = scratch_path(spark, f"{name}-ckpt")
     q = (stream.writeStream.format(sink_format).outputMode(output_mode)
                .option("path", out).option("checkpointLocation", ckpt)
                .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
+    _finish(q, name, timeout_s)
+    return out
+
+
+def _finish(q: StreamingQuery, name: str, timeout_s: float | None) -> None:
+    """Wait for the end of a query (a failure is raised)."""
+    if timeout_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_s):
         q.stop()
         raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return out
 
 
 def file_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
@@ -73,11 +81,15 @@ def file_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files:
 
 
 def incremental_append(stream: DataFrame, *, normalise: Callable[[DataFrame], DataFrame], target: str,
-                       counts: str, name: str = "history", timeout_s: int = 600) -> None:
+                       counts: str, checkpoint: str, name: str = "history",
+                       timeout_s: float | None = None) -> None:
     """L2: ``foreachBatch`` append of normalised rows plus one count row per
-    batch (batch id, rows) - resumable through the checkpoint."""
+    batch (batch id, rows).
+
+    ``checkpoint`` is the job's own folder: a later call with the same folder
+    goes on after the last finished batch, reads only new files and numbers
+    its batches on, so earlier rows stay."""
     spark = stream.sparkSession
-    ckpt = scratch_path(spark, f"{name}-ckpt")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         # Idempotent per batch: a replayed batch overwrites its own partition
@@ -93,11 +105,6 @@ def incremental_append(stream: DataFrame, *, normalise: Callable[[DataFrame], Da
               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
               .partitionBy("batch_id").parquet(counts))
 
-    q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
+    q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
                .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    _finish(q, name, timeout_s)

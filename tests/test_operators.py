@@ -267,3 +267,38 @@ def test_contracts(spark):
     after = spark.createDataFrame([(1, "x"), (2, "z"), (3, "w")], "id int, v string")
     r = quality.row_preservation(before, after, ["id"], ["v"]).first()
     assert (r.missing_rows, r.extra_rows, r.changed_rows) == (0, 1, 1)
+
+
+def test_imputation_needs_a_known_farm_and_year(spark):
+    rows = spark.createDataFrame([(1, "a", 2020, 2.0), (2, "a", 2020, 4.0), (3, "a", 2020, 6.0), (4, "a", 2020, None),
+                                  (5, None, 2020, 6.0), (6, None, 2020, 6.0), (7, None, 2020, 6.0),
+                                  (8, None, 2020, None), (9, "a", None, None)], "i int, farm string, y int, v double")
+    means = lineage.farm_year_means(rows, farm="farm", year="y", values=["v"])
+    out = {r.i: (r.v, r.v_IMPUTED) for r in
+           lineage.impute_from_group_year(rows, means, farm="farm", year="y", value="v").collect()}
+    assert out[4] == (4.0, "YES") and out[8] == (None, "NO") and out[9] == (None, "NO")
+
+
+def test_history_counts_more_years_than_a_word_has_bits(spark):
+    from herdflow.operators.history import history_year_counts
+
+    rows = spark.createDataFrame([("p", f"{y}-06-01", 30.0) for y in range(1900, 2000)], "p string, d string, a double")
+    out = history_year_counts(rows.withColumn("d", F.to_date("d")), province="p", date="d", age="a", history_years=80,
+                              age_tolerance=0)
+    got = {r["__target_year"]: r.history_years for r in out.collect()}
+    assert got[2000] == 80 and got[1950] == 50 and got[1901] == 1
+
+
+def test_observation_lines_keep_every_field(spark):
+    from herdflow.operators.weather import parse_observation_lines
+
+    line = "202401010100 108 " + " ".join(str(i) for i in range(1500))
+    got = parse_observation_lines(spark.createDataFrame([(line,), ("202401010100 108",)], "value string")).collect()
+    assert sorted(len(r["values"]) for r in got) == [0, 1500]
+
+
+def test_frequency_of_mostly_missing_values(spark):
+    df = spark.createDataFrame([(i, None if i % 4 else "x", "y" if i % 3 else None) for i in range(40)],
+                               "i int, a string, b string")
+    got = {r.i: (r.a_freq, r.b_freq) for r in lineage.frequency_encode(df, ["a", "b"]).collect()}
+    assert len(got) == 40 and got[0] == (10, None) and got[1] == (None, 26) and got[4] == (10, 26)

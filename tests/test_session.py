@@ -3,6 +3,8 @@ when unset (``spark.checkpoint.dir`` cannot be set at runtime in Spark 4)."""
 
 import os
 
+import pytest
+
 from herdflow import session
 
 
@@ -18,8 +20,9 @@ class _Conf:
 
 
 class _Ctx:
-    def __init__(self):
+    def __init__(self, master="local[2]"):
         self.dir = None
+        self.master = master
 
     def getCheckpointDir(self):
         return self.dir
@@ -41,7 +44,15 @@ def test_uses_configured_folder():
     assert session.scratch_path(s, "x").startswith("/shared/ckpt/x-")
 
 
-def test_private_fallback_when_unset():
+def test_cluster_without_a_shared_folder_is_refused():
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        s = _Spark(None)
+        s.sparkContext = _Ctx(master)
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.checkpoint_dir(s)
+
+
+def test_private_fallback_when_unset_and_local():
     s = _Spark(None)
     d = session.checkpoint_dir(s)
     assert os.path.isdir(d) and s.sparkContext.dir == d
