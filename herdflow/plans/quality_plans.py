@@ -14,7 +14,7 @@ from herdflow.plans.common import round_doubles
 from herdflow.plans.lineage_plans import OFFSPRING_SQL, _offspring
 from herdflow.plans.registry import register
 from herdflow.sources.tables import table
-from herdflow.operators.joins import with_scalars
+from herdflow.operators.joins import materialize, with_scalars
 
 # --------------------------------------------------------------------------
 # Row contract: orders enriched with customer attributes.
@@ -22,15 +22,20 @@ from herdflow.operators.joins import with_scalars
 ROW_CONTRACT_SQL = f"""
 WITH j AS (SELECT o.*, c.c_mktsegment FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey),
 off AS ({OFFSPRING_SQL.replace("WITH ch AS", "WITH ch0 AS").replace("FROM ch ", "FROM ch0 ")}),
-mono AS (SELECT PAST_OFFSPRING_COUNT - lag(PAST_OFFSPRING_COUNT) OVER (PARTITION BY LINEAGE_NO, ROLE ORDER BY TARGET_YEAR) AS d FROM off)
+cd AS (SELECT CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE c_custkey END AS c_custkey FROM customer
+       UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 50 = 0),
+bad AS (SELECT * REPLACE (CASE WHEN TARGET_YEAR % 5 = 2 THEN PAST_OFFSPRING_COUNT - 1 ELSE PAST_OFFSPRING_COUNT END AS PAST_OFFSPRING_COUNT) FROM off),
+mono AS (SELECT PAST_OFFSPRING_COUNT - lag(PAST_OFFSPRING_COUNT) OVER (PARTITION BY LINEAGE_NO, ROLE ORDER BY TARGET_YEAR) AS d FROM bad)
 SELECT (SELECT CAST(count(*) AS BIGINT) FROM orders) AS rows_before,
   (SELECT CAST(count(*) AS BIGINT) FROM j) AS rows_after,
-  (SELECT CAST(count_if(c_custkey IS NULL) AS BIGINT) FROM customer) AS null_key_rows,
-  (SELECT CAST(count(*) AS BIGINT) FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1)) AS duplicate_keys,
-  CAST(0 AS BIGINT) AS missing_rows, CAST(0 AS BIGINT) AS extra_rows, CAST(0 AS BIGINT) AS changed_rows,
+  (SELECT CAST(count_if(c_custkey IS NULL) AS BIGINT) FROM cd) AS null_key_rows,
+  (SELECT CAST(count(*) AS BIGINT) FROM (SELECT c_custkey FROM cd GROUP BY 1 HAVING count(*) > 1)) AS duplicate_keys,
+  (SELECT CAST(count_if(o_orderkey % 103 = 0 AND o_orderkey <> 0) AS BIGINT) FROM orders) AS missing_rows,
+  (SELECT CAST(count_if(o_orderkey % 107 = 0 AND o_orderkey <> 0) AS BIGINT) FROM orders) AS extra_rows,
+  (SELECT CAST(count_if(o_orderkey % 101 = 0 AND o_orderkey % 103 <> 0) AS BIGINT) FROM orders) AS changed_rows,
   (SELECT CAST(count(DISTINCT o_custkey) AS BIGINT) FROM orders) AS distinct_customers,
   (SELECT CAST(count_if(d < 0) AS BIGINT) FROM mono) AS decreasing_steps,
-  (SELECT CAST(count_if(TARGET_YEAR = (SELECT min(TARGET_YEAR) FROM off) AND PAST_OFFSPRING_COUNT <> 0) AS BIGINT) FROM off) AS nonzero_first_year
+  (SELECT CAST(count_if(TARGET_YEAR = (SELECT min(TARGET_YEAR) FROM bad) AND PAST_OFFSPRING_COUNT <> 0) AS BIGINT) FROM bad) AS nonzero_first_year
 """
 
 
@@ -40,13 +45,22 @@ def q_row_contract(spark, sf_dir):
     c = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
     j = o.join(c, o.o_custkey == c.c_custkey, "left").drop("c_custkey")         # D2 many-to-one
     counts = with_scalars(o.agg(F.count(F.lit(1)).alias("rows_before")), j.agg(F.count(F.lit(1)).alias("rows_after")))
-    keys = key_violations(c, ["c_custkey"]).drop("duplicate_rows")             # J2
-    kept = row_preservation(o, j, ["o_orderkey"], o.columns)                     # J3
+    # Damaged input, so that every check has something to find.
+    key = F.col("c_custkey")
+    damaged = c.select(F.when(key % 97 != 0, key).alias("c_custkey")).unionByName(c.select(key).filter(key % 50 == 0))
+    keys = key_violations(damaged, ["c_custkey"]).drop("duplicate_rows")       # J2
+    order = F.col("o_orderkey")
+    after = j.filter(order % 103 != 0).withColumn(
+        "o_orderstatus", F.when(order % 101 == 0, F.lit("?")).otherwise(F.col("o_orderstatus")))
+    after = after.unionByName(j.filter(order % 107 == 0).withColumn("o_orderkey", -order))
+    kept = row_preservation(o, after, ["o_orderkey"], o.columns)                 # J3
     distinct = o.agg(F.count_distinct("o_custkey").alias("distinct_customers"))  # E22
     # F7 + J7: cumulative offspring counts never decrease along the target
     # years and start at 0; each (parent, role) series is bounded by the
     # number of years, so the window never holds a hot key's raw rows.
-    off = _offspring(spark, sf_dir)
+    off = materialize(_offspring(spark, sf_dir), "offspring")
+    off = off.withColumn("PAST_OFFSPRING_COUNT", F.when(F.col("TARGET_YEAR") % 5 == 2, F.col("PAST_OFFSPRING_COUNT") - 1)
+                         .otherwise(F.col("PAST_OFFSPRING_COUNT")))
     mono = quality.monotone_violations(off, ["LINEAGE_NO", "ROLE"], "TARGET_YEAR", "PAST_OFFSPRING_COUNT")
     y0 = off.agg(F.min("TARGET_YEAR").alias("__first"))          # one-row scalar
     first = with_scalars(off, y0).agg(

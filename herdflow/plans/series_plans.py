@@ -1,7 +1,8 @@
 """Hourly forecasting data side on ``events``: channel = event_type, hourly
 sum of the whole-number part of ``value`` on a dense hour grid.
 
-Split: 14 days train, 7 val, 7 test (hours), input 48, horizon 24.
+Split over all hours: half train, a quarter val, the rest test; input 48,
+horizon 24.
 """
 
 from __future__ import annotations
@@ -17,16 +18,19 @@ from herdflow.plans.registry import register
 from herdflow.sources.tables import table
 
 SEQ, PRED = 48, 24
-N_TRAIN, N_VAL, N_TEST = 14 * 24, 7 * 24, 7 * 24
-BORDERS = split_borders(SEQ, N_TRAIN, N_VAL, N_TEST)
 DESCRIPTION = "Hourly event totals per event type."
 
 
 def _scaled(spark, sf_dir):
     e = table(spark, sf_dir, "events", "ts", "event_type", "value")
     s = hourly_series(e.withColumn("v", F.floor("value").cast("double")), channel="event_type", ts="ts", value="v")
-    s = standardise(s, fit_filter=(F.col("idx") >= BORDERS["train"][0]) & (F.col("idx") < BORDERS["train"][1]))
-    return split_by_position(s, BORDERS)
+    # The borders follow the length of the series: one small job over the times.
+    hours = e.agg((F.unix_timestamp(F.max(F.date_trunc("hour", "ts")))
+                   - F.unix_timestamp(F.min(F.date_trunc("hour", "ts")))).alias("s")).first()["s"]
+    n = (hours or 0) // 3600 + 1
+    borders = split_borders(SEQ, n // 2, n // 4, n - n // 2 - n // 4)
+    s = standardise(s, fit_filter=(F.col("idx") >= borders["train"][0]) & (F.col("idx") < borders["train"][1]))
+    return split_by_position(s, borders)
 
 
 def _windows(spark, sf_dir):
@@ -36,8 +40,10 @@ def _windows(spark, sf_dir):
 
 def _split_case(col="idx"):
     parts = []
-    for name, (lo, hi) in BORDERS.items():
-        parts.append(f"SELECT *, '{name}' AS split, {col} - {lo} AS pos FROM sc WHERE {col} >= {lo} AND {col} < {hi}")
+    borders = {"train": ("0", "n_train"), "val": (f"n_train - {SEQ}", "n_train + n_val"),
+               "test": (f"n_train + n_val - {SEQ}", "n")}
+    for name, (lo, hi) in borders.items():
+        parts.append(f"SELECT sc.*, '{name}' AS split, {col} - ({lo}) AS pos FROM sc, bd WHERE {col} >= {lo} AND {col} < {hi}")
     return " UNION ALL ".join(parts)
 
 
@@ -47,8 +53,9 @@ SCALED_SQL = f"""
   grid AS (SELECT c.channel, unnest(generate_series(b.t0, b.t1, INTERVAL 1 HOUR)) AS t, b.t0 FROM (SELECT DISTINCT channel FROM h) c, b),
   s AS (SELECT grid.channel, grid.t, CAST(epoch(grid.t - grid.t0) / 3600 AS INTEGER) AS idx, CAST(coalesce(h.v, 0) AS DOUBLE) AS value
         FROM grid LEFT JOIN h ON grid.channel = h.channel AND grid.t = h.t),
+  bd AS (SELECT n, n // 2 AS n_train, n // 4 AS n_val FROM (SELECT max(idx) + 1 AS n FROM s)),
   st AS (SELECT channel, avg(value) AS fit_mean, CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END AS fit_std
-         FROM s WHERE idx >= {BORDERS['train'][0]} AND idx < {BORDERS['train'][1]} GROUP BY channel),
+         FROM s, bd WHERE idx < n_train GROUP BY channel),
   sc AS (SELECT s.*, st.fit_mean, st.fit_std, (s.value - st.fit_mean) / st.fit_std AS scaled FROM s LEFT JOIN st USING (channel)),
   sp AS ({_split_case()})"""
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from herdflow.operators.joins import materialize
 from herdflow.operators.weather import (DAILY_VARS, ROLLING_VARS, ROLLING_WINDOWS, complete_daily,
                                         daily_output, hourly_to_daily, monthly_weather,
                                         parse_observation_lines, rolling_features, station_day_grid)
@@ -47,7 +48,7 @@ def _daily(spark, sf_dir):
     obs = parse_observation_lines(_obs_lines(spark, sf_dir))
     stations = _stations(spark, sf_dir)
     obs = obs.join(stations, "stn", "left_semi")                          # C11
-    daily = hourly_to_daily(obs)
+    daily = materialize(hourly_to_daily(obs), "daily")        # read for the bounds and again for the grid
     bounds = daily.agg(F.min("day").alias("start"), F.max("day").alias("end"))
     return complete_daily(daily, station_day_grid(stations, bounds))
 
