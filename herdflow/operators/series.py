@@ -165,21 +165,20 @@ def autocorr_lags(df: DataFrame, x: str = "x", top_k: int = 5, out: str = "lags"
 
 
 def autocorr_lags_fft(df: DataFrame, x: str = "x", top_k: int = 5, out: str = "lags") -> DataFrame:
-    """I7 for long windows: Arrow-batched pandas UDF over numpy FFT (one
-    vectorised call per batch, never per row)."""
+    """I7 for long windows: Arrow-batched pandas UDF over numpy FFT, one
+    transform per window length and batch."""
     import numpy as np
     import pandas as pd
 
     def lags(col):
-        res = []
-        for arr in col:
-            v = np.asarray(arr, dtype=float)
-            f = np.fft.rfft(v)
-            corr = np.fft.irfft(f * np.conj(f), n=len(v))
-            keys = np.round(corr[1:], 9)
-            order = np.lexsort((np.arange(1, len(v)), -keys))
-            res.append((order[:top_k] + 1).astype(int).tolist())
-        return pd.Series(res)
+        res = pd.Series([None] * len(col), index=col.index, dtype=object)
+        for n, same in col.groupby(col.map(len)):        # one call per window length
+            f = np.fft.rfft(np.stack(same.to_numpy()).astype(float), axis=1)
+            corr = np.fft.irfft(f * np.conj(f), n=n, axis=1)
+            order = np.argsort(-np.round(corr[:, 1:], 9), axis=1, kind="stable")
+            for at, lags_of in zip(same.index, (order[:, :top_k] + 1).tolist(), strict=True):
+                res.at[at] = lags_of
+        return res
 
     # real (not postponed) annotations so Spark infers a scalar pandas UDF
     lags.__annotations__ = {"col": pd.Series, "return": pd.Series}
@@ -198,6 +197,7 @@ def fixed4(c: Column) -> Column:
 def window_prompt(df: DataFrame, *, description: str, seq_len: int, pred_len: int,
                   lags: str = "lags") -> DataFrame:
     """Natural-language description of one window from I6/I7 output."""
+    # The wording of the prompt.
     text = F.concat(
         F.lit(f"<|start_prompt|>Dataset description: {description}"
               f"Task description: forecast the next {pred_len} steps given the previous {seq_len} steps information; "

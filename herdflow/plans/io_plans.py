@@ -15,41 +15,45 @@ from herdflow.sources.io import (file_metadata, land_json, read_back, read_back_
 from herdflow.sources.tables import table
 from herdflow.operators.joins import with_scalars
 
-CSV_SCHEMA = "n_nationkey INT, n_name STRING, n_regionkey INT, r_name STRING"
+CSV_SCHEMA = "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderstatus STRING"
+CSV_COLUMNS = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus"]
 
+# The second read-back is of a file set without every 11th order and with some
+# prices changed, so that the check has rows to find on both sides.
 CSV_ROUNDTRIP_SQL = """
-WITH j AS (SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
-SELECT n_nationkey, n_name, r_name, CAST(count(*) OVER () AS BIGINT) AS written_rows,
+SELECT o_orderkey, o_custkey, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS order_day, o_orderstatus,
+  CAST(o_orderkey AS VARCHAR) AS raw_key, CAST(count(*) OVER () AS BIGINT) AS written_rows,
   CAST(count(*) OVER () AS BIGINT) AS reread_rows, CAST(0 AS BIGINT) AS missing_after_write,
-  CAST(0 AS BIGINT) AS extra_after_write, CAST(0 AS BIGINT) AS parquet_mismatch, n_name AS raw_name,
+  CAST(count_if(o_orderkey % 11 = 0 OR o_orderkey % 13 = 0) OVER () AS BIGINT) AS damaged_missing,
+  CAST(count_if(o_orderkey % 11 <> 0 AND o_orderkey % 13 = 0) OVER () AS BIGINT) AS damaged_extra,
   true AS files_hashed
-FROM j
+FROM orders
 """
 
 
 @register("csv_roundtrip", CSV_ROUNDTRIP_SQL)
 def q_csv_roundtrip(spark, sf_dir):
-    n = table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
-    r = table(spark, sf_dir, "region", "r_regionkey", "r_name")
-    df = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "n_regionkey", "r_name")
-    csv_out = scratch_path(spark, "nation-csv")
-    pq_out = scratch_path(spark, "nation-parquet")
-    sink(df, csv_out, "csv", partition_by=["r_name"])          # A11 + A12
-    sink(df, pq_out, "parquet")                                  # A10 + A12
-    back = scan_csv(spark, csv_out, schema=CSV_SCHEMA,           # A1/A2 (typed, pruned)
-                    columns=["n_nationkey", "n_name", "n_regionkey", "r_name"])
+    df = table(spark, sf_dir, "orders", *CSV_COLUMNS)
+    csv_out = scratch_path(spark, "orders-csv")
+    pq_out = scratch_path(spark, "orders-parquet")
+    sink(df, csv_out, "csv", partition_by=["o_orderstatus"])     # A11 + A12
+    key = F.col("o_orderkey")
+    damaged = df.filter(key % 11 != 0).withColumn(
+        "o_totalprice", F.when(key % 13 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    sink(damaged, pq_out, "parquet")                             # A10 + A12
+    back = scan_csv(spark, csv_out, schema=CSV_SCHEMA, columns=CSV_COLUMNS)   # A1/A2 (typed, pruned), A16
     raw = scan_csv(spark, csv_out, raw_strings=True)             # A3
-    check = read_back_check(df, back)                            # A13
-    pq_check = read_back_check(df, read_back(spark, pq_out, "parquet")) \
-        .select((F.col("missing_after_write") + F.col("extra_after_write")).alias("parquet_mismatch"))
-    hashed = file_metadata(spark, csv_out + "/*/*.csv").agg(  # A14
+    check = read_back_check(df, back).drop("extra_after_write")  # A13
+    found = read_back_check(df, read_back(spark, pq_out, "parquet")).select(
+        F.col("missing_after_write").alias("damaged_missing"), F.col("extra_after_write").alias("damaged_extra"))
+    hashed = file_metadata(spark, csv_out + "/*/*.csv").agg(     # A14
         (F.count_if(F.length("sha256") == 64) == F.count(F.lit(1))).alias("files_hashed"))
-    out = (back.join(raw.select(F.col("n_nationkey").cast("int").alias("n_nationkey"),
-                                F.col("n_name").alias("raw_name")), "n_nationkey")
-               )
-    out = with_scalars(out, check, pq_check, hashed)
-    return out.select("n_nationkey", "n_name", "r_name", "written_rows", "reread_rows", "missing_after_write",
-                      "extra_after_write", "parquet_mismatch", "raw_name", "files_hashed").orderBy("n_nationkey")
+    out = back.join(raw.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"),
+                               F.col("o_orderkey").alias("raw_key")), "o_orderkey")
+    out = with_scalars(out, check, found, hashed)
+    return out.select("o_orderkey", "o_custkey", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_day"),
+                      "o_orderstatus", "raw_key", "written_rows", "reread_rows", "missing_after_write",
+                      "damaged_missing", "damaged_extra", "files_hashed")
 
 
 FLATTEN_JSON_SQL = """

@@ -24,8 +24,8 @@ def test_registry_shape():
     assert set(o) <= set(q)
     assert set(registry.QUERIES) <= set(q)
     assert len(registry.QUERIES) >= 50
-    # rows-only by design: seeded hash sample and model training
-    assert set(registry.QUERIES) - set(o) == {"hash_sample", "oof_train"}
+    # rows-only by design: model training
+    assert set(registry.QUERIES) - set(o) == {"oof_train"}
 
 
 @pytest.mark.parametrize("name", ["history_stats", "daily_weather", "offspring_by_year", "window_prompt",
