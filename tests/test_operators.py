@@ -302,3 +302,14 @@ def test_frequency_of_mostly_missing_values(spark):
                                "i int, a string, b string")
     got = {r.i: (r.a_freq, r.b_freq) for r in lineage.frequency_encode(df, ["a", "b"]).collect()}
     assert len(got) == 40 and got[0] == (10, None) and got[1] == (None, 26) and got[4] == (10, 26)
+
+
+def test_farm_in_two_integrated_groups_is_refused(spark):
+    from herdflow.operators.quality import ContractError
+
+    cand = spark.createDataFrame([("g1", "f1", "HIGH"), ("g2", "f1", "MEDIUM"), ("g1", "f2", "HIGH")],
+                                 "g string, f string, s string")
+    members = farm.integrated_members(cand, group="g", farm="f", strength="s")
+    with pytest.raises(ContractError):
+        farm.check_single_group(members)
+    farm.check_single_group(members.filter("__farm = 'f2'"))
