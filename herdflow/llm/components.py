@@ -15,19 +15,23 @@ from pyspark.sql import functions as F
 
 from herdflow.operators.joins import materialize
 
+NODES_PER_FILE = 200_000
+
 
 def _state(links: DataFrame) -> tuple:
     mixed = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     return tuple(links.agg(F.count(F.lit(1)), mixed).first())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, nodes: int) -> DataFrame:
     """Links (u, v) of longs -> (u, v) with ``v`` the smallest node of u's
     component, for every linked ``u`` but that smallest node itself.
 
-    Self-links and repeated links are harmless; no link gives no row."""
+    ``nodes`` (about how many there are) sets the number of files a round is
+    written to. Self-links and repeated links are harmless; no link gives no row."""
+    files = nodes // NODES_PER_FILE + 1
     now = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                      .filter("u != v").distinct(), "links")
+                      .filter("u != v").distinct().coalesce(files), "links")
     state = _state(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -163,7 +163,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def _classes(prints: DataFrame, radius: int) -> DataFrame:
     """(class_fp, root, component_id) of every distinct fingerprint."""
-    roots = components(near_links(prints, radius))
+    roots = components(near_links(prints, radius), prints.count())
     least = prints.groupBy(F.col("fp").alias("class_fp")).agg(F.min("doc_id").alias("least"))
     rooted = least.join(roots, F.col("class_fp") == F.col("u"), "left").select(
         "class_fp", "least", F.coalesce("v", "class_fp").alias("root"))
