@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from herdflow.llm import bpe_count, byte_cnn, decontam, kneser_ney, mixing, quality_rules, rindex, secret_scan, shard_tree, simhash
 from herdflow.llm.common import documents
+from herdflow.llm.oracles import MIXING_SQL, SHARDS_SQL
 from herdflow.sources.tables import table
 
 SHARDS = 16
@@ -97,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op8_pfair_mixing": MIXING_SQL, "op9_hash_tree_shards": SHARDS_SQL}
