@@ -206,13 +206,19 @@ def repeated_runs(parts: list[bytes], weights: list[int], length: int = LENGTH)
 def _document_segments(with_content: bool, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, rows, places, contents = [], [], [], []
-            for row, text in enumerate(batch.column(0)):
+            hs, rows, places, contents, counts = [], [], [], [], []
+            texts = batch.column(0).dictionary_encode()  # equal texts of a batch are cut once
+            copies = np.bincount(texts.indices.to_numpy(), minlength=len(texts.dictionary))
+            first_row = np.zeros(len(copies), np.int64)
+            first_row[texts.indices.to_numpy()[::-1]] = np.arange(batch.num_rows)[::-1]
+            for row, text, n in zip(first_row.tolist(), texts.dictionary, copies.tolist(), strict=True):
                 data = text.as_py().encode()
                 h, first, size, repeats = segments(data, length)
-                hs.append(h if with_content else np.append(h, h[repeats]))  # such an anchor counts twice
+                # An anchor that a segment has more than once counts twice.
+                hs.append(h if with_content else np.append(h, h[repeats | (n > 1)]))
                 if with_content:
                     rows.append(np.full(len(h), row))
+                    counts.append(np.full(len(h), n))
                     places.append(first << SHIFT | size)
                     contents += [xxh3_64_intdigest(data[a:b]) for a, b in
                                  zip(first.tolist(), (first + size + length - 1).tolist(), strict=True)]
@@ -223,8 +229,9 @@ def _document_segments(with_content: bool, length: int):
             row = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
             yield pa.record_batch([h, pa.array(np.array(contents, np.uint64).view(np.int64)),
                                    batch.column(1).take(row), batch.column(2).take(row),
-                                   pa.array(np.concatenate(places) if places else np.zeros(0, np.int64))],
-                                  names=["h", "content", "d1", "d2", "place"])
+                                   pa.array(np.concatenate(places) if places else np.zeros(0, np.int64)),
+                                   pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64))],
+                                  names=["h", "content", "d1", "d2", "place", "n"])
     return run
 
 
@@ -329,10 +336,12 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_
     counted = keyed.select("text").mapInArrow(_document_segments(False, length), "h long")
     again = counted.groupBy(F.col("h").alias("anchor")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     found = keyed.select("text", "d1", "d2").mapInArrow(
-        _document_segments(True, length), "h long, content long, d1 long, d2 long, place long")
+        _document_segments(True, length), "h long, content long, d1 long, d2 long, place long, n long")
     found = found.join(again, F.col("h") == F.col("anchor"), "left_semi")
-    held = materialize(found.groupBy("h", "content", "d1", "d2", "place").agg(F.count(F.lit(1)).alias("n")),
-                       "segments")
+    # The sum goes by an expression of the anchor, so it deals the rows of a hot
+    # anchor anew, by all of its keys.
+    apart = found.withColumn("h", F.col("h").bitwiseXOR(F.lit(0)))
+    held = materialize(apart.groupBy("h", "content", "d1", "d2", "place").agg(F.sum("n").alias("n")), "segments")
 
     # Distinct segments, each with its weight and one document to cut it from.
     distinct = held.groupBy("h", "content").agg(F.sum("n").alias("n"), F.first("d1").alias("d1"),
