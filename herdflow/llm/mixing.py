@@ -15,11 +15,14 @@ is broadcast. The number of sources is taken to be small (thousands at most);
 rows per source are unbounded, and ranking them spreads a hot source over
 hash buckets.
 
-Default target weights follow the natural shares with hot sources held back:
-``w ~ min(rows, HOT_FACTOR * mean rows per source)``. The mix is as long as the
-scarcest source allows: ``T = min(rows / w)`` rows, of which a source gives
-``w * T``. Rows beyond that are surplus of over-represented sources; they keep
-``in_mix = false`` and null slots.
+With ``hot_factor=None`` and no weights the targets are the natural shares
+``w = rows / all rows``: every row is in the mix. Otherwise the targets are the
+caller's weights, or the natural shares with hot sources held back
+(``w ~ min(rows, hot_factor * mean rows per source)``); the mix is then as long
+as the scarcest source allows, ``T = min(rows / w)`` rows, of which a source
+gives ``w * T``. Rows beyond that are surplus of over-represented sources; they
+keep ``in_mix = false`` and null slots. The query and the pipeline use the
+natural shares.
 
 Defined results: a null source is a source of its own; a null key orders by
 the text ``null``; equal rows are interchangeable; a source without a weight
@@ -46,15 +49,17 @@ def source_key(col: str):
 
 
 def source_plan(rows: DataFrame, weights: dict[str | None, float] | None = None,
-                hot_factor: float = HOT_FACTOR, period: int = PERIOD) -> DataFrame:
+                hot_factor: float | None = HOT_FACTOR, period: int = PERIOD) -> DataFrame:
     """One row per source: rows ``n``, target weight ``w``, rows to ``take``,
     blocks per period ``k`` and index ``s`` (order of the source key)."""
     counts = rows.groupBy("__source").agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         all_rows = F.struct(F.collect_list(F.struct("__source", "n")).alias("each"), F.avg("n").alias("mean"))
         one = counts.agg(all_rows.alias("a")).select(F.explode("a.each").alias("e"), F.col("a.mean").alias("mean"))
-        wanted = one.select(F.col("e.__source").alias("__source"), F.col("e.n").alias("n"),
-                            F.least(F.col("e.n").cast("double"), F.lit(hot_factor) * F.col("mean")).alias("want"))
+        want = F.col("e.n").cast("double")
+        if hot_factor is not None:
+            want = F.least(want, F.lit(hot_factor) * F.col("mean"))
+        wanted = one.select(F.col("e.__source").alias("__source"), F.col("e.n").alias("n"), want.alias("want"))
     else:
         wanted_by = F.lit(None).cast("double")
         for name, w in weights.items():
@@ -65,10 +70,13 @@ def source_plan(rows: DataFrame, weights: dict[str | None, float] | None = None,
     plan = packed.select(F.expr("transform(each, (x, i) -> named_struct('__source', x.__source, 'n', x.n, 's', i, "
                                 "'w', x.want / aggregate(each, 0D, (a, y) -> a + y.want)))").alias("each"))
     plan = plan.select("each", F.expr("floor(array_min(transform(each, x -> x.n / x.w)) + 1e-6D)").alias("total"))
+    take = F.least(F.col("x.n"), F.floor(F.col("x.w") * F.col("total") + F.lit(1e-6)))
+    if weights is None and hot_factor is None:
+        take = F.col("x.n")
     return plan.select(F.explode("each").alias("x"), "total").select(
         F.col("x.__source").alias("__source"), F.col("x.s").alias("s"), F.col("x.n").alias("n"),
         F.col("x.w").alias("w"),
-        F.least(F.col("x.n"), F.floor(F.col("x.w") * F.col("total") + F.lit(1e-6))).cast("long").alias("take"),
+        take.cast("long").alias("take"),
         F.greatest(F.lit(1), F.round(F.col("x.w") * period)).cast("long").alias("k"))
 
 
@@ -95,7 +103,7 @@ def period_schedule(plan: DataFrame) -> DataFrame:
 
 
 def _scheduled(docs: DataFrame, weights, carried: Sequence[Column], *, id_col: str, source_col: str,
-               block_rows: int, hot_factor: float, period: int) -> DataFrame:
+               block_rows: int, hot_factor: float | None, period: int) -> DataFrame:
     """Every row's block, window and slot, with ``carried``."""
     digest = F.md5(F.concat(F.lit("mix:"), key_text(id_col)))
     rows = docs.select(F.col(f"`{id_col}`").alias("__key"), source_key(source_col).alias("__source"),
@@ -120,7 +128,7 @@ def _scheduled(docs: DataFrame, weights, carried: Sequence[Column], *, id_col: s
 
 
 def mix_schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, *, id_col: str = "doc_id",
-                 source_col: str = "source", block_rows: int = BLOCK_ROWS, hot_factor: float = HOT_FACTOR,
+                 source_col: str = "source", block_rows: int = BLOCK_ROWS, hot_factor: float | None = HOT_FACTOR,
                  period: int = PERIOD) -> DataFrame:
     """One row per document: source, its block there, the block's release,
     deadline and slot, the row's place in the block, and ``in_mix``. Ordering
@@ -132,7 +140,7 @@ def mix_schedule(docs: DataFrame, weights: dict[str | None, float] | None = None
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, *, id_col: str = "doc_id",
-          source_col: str = "source", block_rows: int = BLOCK_ROWS, hot_factor: float = HOT_FACTOR,
+          source_col: str = "source", block_rows: int = BLOCK_ROWS, hot_factor: float | None = HOT_FACTOR,
           period: int = PERIOD) -> DataFrame:
     """The documents of the mix with their own columns, in mixed sequence."""
     rows = _scheduled(docs, weights, [F.struct("*").alias("__doc")], id_col=id_col, source_col=source_col,

@@ -60,8 +60,8 @@ def op7_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pfair mix of all documents to the default target weights."""
-    return mixing.mix_schedule(documents(spark, sf_dir))
+    """Pfair mix of all documents to the sources' natural shares."""
+    return mixing.mix_schedule(documents(spark, sf_dir), hot_factor=None)
 
 
 def op9_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

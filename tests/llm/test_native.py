@@ -9,7 +9,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from herdflow.llm import mixing, quality_rules, secret_scan, shard_tree
+import corpus_pipeline
+from herdflow.llm import mixing, quality_rules, queries, secret_scan, shard_tree
 from tests.llm import common
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -115,6 +116,23 @@ def test_mix_of_all_sources(spark, docs):
     assert mixing.mix_schedule(docs, {"nowhere": 1.0}).filter("in_mix").count() == 0
 
 
+def hot_table(spark):
+    """One source with a third of the rows, and 19 others of uneven sizes."""
+    sizes = {"hot": 300} | {f"s{i}": 13 + 2 * i for i in range(19)}
+    return sizes, spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))],
+                                        "doc_id long, source string")
+
+
+def test_natural_shares_keep_every_row(spark, tmp_path):
+    sizes, docs = hot_table(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op8_pfair_mixing(spark, str(tmp_path)).collect()
+    assert Counter(r.source for r in rows if r.in_mix and r.slot is not None) == sizes
+    total = sum(sizes.values())
+    assert all(r.target_weight == pytest.approx(sizes[r.source] / total) for r in rows)
+    assert corpus_pipeline.mixing_stage(spark, docs, "").count() == total
+
+
 def counted(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     grams = list(zip(words, words[1:], words[2:]))
