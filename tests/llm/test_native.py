@@ -133,6 +133,35 @@ def test_natural_shares_keep_every_row(spark, tmp_path):
     assert corpus_pipeline.mixing_stage(spark, docs, "").count() == total
 
 
+def test_whole_schedule(spark):
+    """Every window met and less than a block off at any slot, across windows."""
+    for k in ([], [1], [5, 2, 2, 7], [341, 97, 98, 98, 98, 98, 97, 97], [500, 1, 1, 3, 210]):
+        for window in (16, 1024):
+            rows = mixing.whole_schedule(spark, k, window).orderBy("t").collect()
+            assert [r.s for r in rows] == schedule_by_hand(k) and [r.t for r in rows] == list(range(sum(k)))
+            done = [0] * len(k)
+            for r in rows:
+                assert r.j == done[r.s]
+                done[r.s] += 1
+                assert all(abs(done[x] * sum(k) - k[x] * (r.t + 1)) < sum(k) for x in range(len(k)))
+
+
+def test_mix_keeps_to_whole_block_shares(spark, monkeypatch):
+    """Weights that divide no period, with and without a broadcast."""
+    blocks, docs = hot_table(spark)  # one row a block
+    total = sum(blocks.values())
+    for broadcast_slots in (mixing.BROADCAST_SLOTS, 1):
+        monkeypatch.setattr(mixing, "BROADCAST_SLOTS", broadcast_slots)
+        rows = mixing.mix_schedule(docs, hot_factor=None, block_rows=1).orderBy("slot").collect()
+        assert [r.slot for r in rows] == list(range(total))
+        done = Counter()
+        for r in rows:
+            assert r.release == r.block * total // blocks[r.source] <= r.slot < r.deadline
+            assert r.deadline == -(-(r.block + 1) * total // blocks[r.source])
+            done[r.source] += 1
+            assert all(abs(done[s] * total - b * (r.slot + 1)) < total for s, b in blocks.items())
+
+
 def counted(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     grams = list(zip(words, words[1:], words[2:]))
