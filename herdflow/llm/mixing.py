@@ -153,8 +153,10 @@ def whole_schedule(spark: SparkSession, blocks: Sequence[int], window: int = WIN
 
 
 def _scheduled(docs: DataFrame, weights, carried: Sequence[Column], *, id_col: str, source_col: str,
-               block_rows: int, hot_factor: float | None, period: int | None) -> DataFrame:
-    """Every row's block, window and slot, with ``carried``."""
+               block_rows: int, hot_factor: float | None, period: int | None,
+               ties: Sequence[str] = ()) -> DataFrame:
+    """Every row's block, window and slot, with ``carried``. ``ties`` names
+    columns of ``carried`` that order rows of one key."""
     digest = F.md5(F.concat(F.lit("mix:"), key_text(id_col)))
     rows = docs.select(F.col(f"`{id_col}`").alias("__key"), source_key(source_col).alias("__source"),
                        digest.alias("__digest"), *carried)
@@ -170,7 +172,7 @@ def _scheduled(docs: DataFrame, weights, carried: Sequence[Column], *, id_col: s
         slots = plan.agg(F.sum("k").alias("slots")).scalar()
         times = F.broadcast(period_schedule(plan))  # at most period + sources rows
     times = times.select(F.col("s").alias("__s"), F.col("j").alias("__tj"), F.col("t").alias("__t"))
-    ranked = spread_rank(rows, rows, "__source", "__digest", ["__key"], "__rank")
+    ranked = spread_rank(rows, rows, "__source", "__digest", ["__key", *ties], "__rank")
     ranked = ranked.join(F.broadcast(plan.withColumnRenamed("__source", "__plan_source")),  # one row per source
                          F.col("__source") == F.col("__plan_source"), "left")
     ranked = ranked.withColumn("in_mix", F.coalesce(F.col("__rank") < F.col("take"), F.lit(False)))
@@ -206,3 +208,15 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, *, id
     rows = _scheduled(docs, weights, [F.struct("*").alias("__doc")], id_col=id_col, source_col=source_col,
                       block_rows=block_rows, hot_factor=hot_factor, period=period)
     return rows.filter("in_mix").orderBy("slot", "place").select("__doc.*")
+
+
+def positions(docs: DataFrame, carried: Sequence[Column], *, id_col: str = "doc_id", source_col: str = "source",
+              block_rows: int = BLOCK_ROWS, ties: Sequence[str] = ()) -> DataFrame:
+    """``carried`` of every row, with its ``__position`` in the mixed sequence by
+    natural shares (slots times ``block_rows``, plus the place; gaps after short
+    blocks) and the bound ``__positions``. Runs the same job as ``mix_schedule``."""
+    rows = _scheduled(docs, None, carried, id_col=id_col, source_col=source_col, block_rows=block_rows,
+                      hot_factor=None, period=None, ties=ties)
+    return rows.withColumns({"__position": F.col("slot") * block_rows + F.col("place"),
+                             "__positions": F.col("slots") * block_rows}).select(
+        *docs.select(*carried).columns, "__position", "__positions")

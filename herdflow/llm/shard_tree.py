@@ -26,7 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdflow.llm.common import free_name, key_text, spread_rank, text_or_empty
+from herdflow.llm import mixing
+from herdflow.llm.common import RANK_BUCKETS, free_name, key_text, spread_rank, text_or_empty
 
 SHARDS_PER_RACK = 4
 RACKS_PER_REGION = 2
@@ -112,3 +113,24 @@ def place_in_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     rows = _slots(docs, shards, id_col, text_col, [F.struct("*").alias("__doc")])
     return rows.select("__doc.*", F.col("shard").alias(free_name(docs, "shard")),
                        F.col("slot").alias(free_name(docs, "slot")))
+
+
+def place_in_sequence(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text",
+                      source_col: str = "source") -> DataFrame:
+    """As ``place_in_shards``, but the slots of a shard follow the mixed sequence
+    of all documents by natural shares (``mixing.positions``). Runs a job that
+    counts the sources' rows."""
+    tree = {"__shard": even_tree(shards)}
+    key, text = F.col(f"`{id_col}`").alias("__id"), text_or_empty(text_col)
+    # Ranking goes by this digest: the part of the sequence, then the place.
+    part = F.expr(f"__position * {RANK_BUCKETS} div __positions")
+    digest = F.lower(F.concat(F.lpad(F.hex(part), 3, "0"), F.lpad(F.hex("__position"), 16, "0")))
+
+    def placed(carried, ties=()):
+        rows = mixing.positions(docs, [key, *carried], id_col=id_col, source_col=source_col, ties=ties)
+        return assign_shards(rows.withColumn("__digest", digest), key_text("__id"), tree)
+
+    ranked = spread_rank(placed([F.struct("*").alias("__doc"), F.xxhash64(text).alias("__text_hash")], ["__text_hash"]),
+                         placed([]), "__shard", "__digest", [], "__slot")
+    return ranked.select("__doc.*", F.col("__shard").alias(free_name(docs, "shard")),
+                         F.col("__slot").alias(free_name(docs, "slot")))

@@ -162,6 +162,30 @@ def test_mix_keeps_to_whole_block_shares(spark, monkeypatch):
             assert all(abs(done[s] * total - b * (r.slot + 1)) < total for s, b in blocks.items())
 
 
+def test_shards_follow_the_mixed_sequence(spark):
+    sizes, docs = hot_table(spark)
+    docs = docs.withColumn("text", docs.doc_id.cast("string"))
+    order = [r.doc_id for r in mixing.mix_schedule(docs, hot_factor=None).orderBy("slot", "place").collect()]
+    rows = corpus_pipeline.sharding_stage(spark, docs, "").collect()
+    shard = {r.doc_id: r.shard for r in shard_tree.shard_table(docs, corpus_pipeline.SHARDS).collect()}
+    got = {(r.shard, r.slot): r.doc_id for r in rows}
+    seen = Counter()
+    for key in order:
+        assert got[shard[key], seen[shard[key]]] == key
+        seen[shard[key]] += 1
+    assert len(got) == len(rows) == sum(sizes.values())
+
+
+def test_sequence_shards_of_awkward_tables(spark, docs):
+    placed = shard_tree.place_in_sequence(common.clashing(docs), 4)
+    assert placed.columns[-2:] == ["_shard", "_slot"] and placed.columns[:-2] == common.clashing(docs).columns
+    rows = placed.collect()
+    taken = Counter(r._shard for r in rows)
+    assert len({(r._shard, r._slot) for r in rows}) == len(rows) == docs.count()
+    assert all(r._slot < taken[r._shard] for r in rows)
+    assert shard_tree.place_in_sequence(common.empty(spark)).count() == 0
+
+
 def counted(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     grams = list(zip(words, words[1:], words[2:]))
