@@ -1,15 +1,17 @@
 """Secret scans: three fixed patterns plus character Markov models.
 
 The patterns find assignments, access keys and long hexadecimal runs. Besides,
-every run of at least ``MIN_RUN`` key characters that no pattern span overlaps
-is scored by two first-order character models, one of random strings and one
-of ordinary identifiers: the mean over its character pairs of
+every run of key characters, less the pattern spans in it, is cut into the parts
+beside those spans, and each part of at least ``MIN_RUN`` characters is scored
+by two first-order character models, one of random strings and one of ordinary
+identifiers: the mean over its character pairs of
 ``ln(p_random(b | a) / p_ordinary(b | a))`` must reach ``THRESHOLD``.
 
 The models come from labelled samples taken from the documents of at most
 ``SAMPLE_ROWS`` keys (lowest hash), the bound of the sample: ordinary ones are
 the documents' shorter words (``SHORT_WORD`` to ``MIN_RUN - 1`` key
-characters) and plain numbers, random ones are digests of their keys written in base 64 and in
+characters), neighbouring ones joined by ``/``, ``_`` or ``-`` as in paths and long
+identifiers, and plain numbers, random ones are digests of their keys written in base 64 and in
 lower- and upper-case hexadecimal. Only pair counts leave the cluster (at most
 ``len(ALPHABET) ** 2`` per model).
 
@@ -46,6 +48,7 @@ SHORT_WORD = 4
 SAMPLE_ROWS = 5_000
 SMOOTHING = 0.5
 BACK_OFF = 8.0
+JOINTS = "/_-"
 THRESHOLD = 0.8
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -115,13 +118,32 @@ def markov_ratios(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.regexp_replace(F.base64(F.unhex(keys)), "[^A-Za-z0-9+/=]", ""), F.lower(keys), F.upper(keys))).alias("s"))
     texts = docs.select(F.col(f"`{id_col}`").alias("__doc"), text_or_empty(text_col).alias("__t")).join(
         F.broadcast(ids), F.col("__doc") == F.col("__id"), "left_semi")  # at most ``rows`` keys
-    runs = texts.select(F.explode(F.regexp_extract_all("__t", F.lit("[A-Za-z0-9+/_=-]+"), F.lit(0))).alias("s"))
+    runs = F.regexp_extract_all("__t", F.lit("[A-Za-z0-9+/_=-]+"), F.lit(0))
+    short = texts.select(F.filter(runs, lambda s: F.length(s).between(SHORT_WORD, MIN_RUN - 1)).alias("w"))
+    joint = lambda i: F.substring(F.lit(JOINTS), i % len(JOINTS) + 1, F.lit(1))
+    joined = F.transform("w", lambda s, i: F.concat(s, joint(i), F.get("w", i + 1)))  # the last one's is null
+    words = short.select(F.explode(F.concat("w", F.filter(joined, lambda s: s.isNotNull()))).alias("s"))
     numbers = ids.select(F.regexp_replace(F.xxhash64("__id").cast("string"), "-", "").alias("s"))
-    ordinary = runs.filter(F.length("s").between(SHORT_WORD, MIN_RUN - 1)).unionByName(numbers)
+    ordinary = words.unionByName(numbers)
     random_p, ordinary_p = _conditional(_pair_counts(digests)), _conditional(_pair_counts(ordinary))
     return [math.log(r / o) for r, o in zip(random_p, ordinary_p, strict=True)]
 
 
+def _beside(runs: str, base: str) -> Column:
+    """The parts of the runs that no base span covers, ``MIN_RUN`` characters
+    long at least."""
+    part = lambda start, end: F.struct(start.alias("start"), F.lit(3).alias("kind"), end.alias("end"))
+
+    def parts(run):
+        begin = F.struct(run["start"].alias("at"), F.array().cast(_SPANS).alias("found"))
+        over = F.filter(F.sort_array(base), lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+        return F.aggregate(over, begin, lambda s, b: F.struct(
+            F.greatest(s["at"], b["end"]).alias("at"), F.array_append(s["found"], part(s["at"], b["start"])).alias("found")),
+            lambda s: F.array_append(s["found"], part(s["at"], run["end"])))
+
+    return F.filter(F.flatten(F.transform(runs, parts)), lambda p: p["end"] - p["start"] >= MIN_RUN)
+
+
 def scan(docs: DataFrame, ratios: list[float], *, text_col: str = "text", out: str = "secret_spans",
          threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with an array of (start, kind, end) added, sorted; ``kind``
@@ -132,8 +154,7 @@ def scan(docs: DataFrame, ratios: list[float], *, text_col: str = "text", out: s
     found = docs.select(*own, text.alias("__text"), F.concat(
         _spans(text, ASSIGN, 0, 2, ASSIGN_VALUE), _spans(text, ACCESS, 1), _spans(text, HEX, 2)).alias("__base"),
         _spans(text, f"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}", 3).alias("__runs"))
-    free = found.select(*own, "__text", "__base", F.filter("__runs", lambda r: ~F.exists(
-        "__base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))).alias("__runs"))
+    free = found.select(*own, "__text", "__base", _beside("__runs", "__base").alias("__runs"))
     mean = lambda run: F.aggregate(_pairs(run), F.lit(0.0), lambda s, p: s + F.get(table, p)) / (F.length(run) - 1)
     added = free.select(*own, "__base", F.filter("__runs", lambda r: mean(
         F.substring("__text", r["start"] + 1, r["end"] - r["start"])) >= F.lit(threshold)).alias("__added"))

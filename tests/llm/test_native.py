@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ import corpus_pipeline
 from herdflow.llm import mixing, quality_rules, queries, secret_scan, shard_tree
 from tests.llm import common
 
+SF_PATHS = "/root/testdata/sf0.01"
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -281,6 +283,26 @@ def test_secrets(spark, docs):
     assert len(got) == table.count()
 
 
+def test_secrets_beside_base_spans(spark, docs):
+    random_run = "kZ8+Qw3rT9xLm2Vb7NcPdX4sJ6hYfG1tRaUe0WqB"
+    texts = [f"{random_run}/api_key=abcdef", f"see token=abcdef/{random_run}", random_run]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = secret_scan.scan(table, secret_scan.markov_ratios(docs)).orderBy("doc_id").collect()
+    found = [[(s.start, s.end) for s in r.secret_spans if s.kind == 3] for r in got]
+    assert found == [[(0, 41)], [], [(0, 40)]]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_PATHS), reason="test tables not present")
+def test_ordinary_paths_are_no_secrets(spark):
+    rng = random.Random(2)
+    docs = spark.read.parquet(f"{SF_PATHS}/documents.parquet")
+    words = [w for r in docs.orderBy("doc_id").collect() for w in re.findall(r"(?<!\S)[a-z]{4,12}(?!\S)", r.text)]
+    paths = [(i, "/".join(rng.choices(words, k=6))) for i in range(300)]
+    table = spark.createDataFrame(paths, "doc_id long, text string")
+    got = secret_scan.scan(table, secret_scan.markov_ratios(docs)).collect()
+    assert sum(len(r.secret_spans) > 0 for r in got) <= 3
+
+
 def test_secrets_of_clashing_and_empty_tables(spark, docs):
     ratios = secret_scan.markov_ratios(docs)
     assert len(ratios) == len(secret_scan.ALPHABET) ** 2
