@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdflow.llm import bpe_count, byte_cnn, decontam, kneser_ney, mixing, quality_rules, rindex, secret_scan, shard_tree, simhash
+from herdflow.llm import (bpe_count, byte_cnn, decontam, dual_tree, kneser_ney, m_tree, mixing, quality_rules, rindex,
+                          secret_scan, shard_tree, simhash, spelling)
 from herdflow.llm.common import documents
-from herdflow.llm.oracles import MIXING_SQL, SHARDS_SQL
+from herdflow.llm.oracles import INNER_PRODUCTS_SQL, MIXING_SQL, RANKED_SQL, SHARDS_SQL, VARIANTS_SQL
 from herdflow.sources.tables import table
 
 SHARDS = 16
@@ -74,6 +75,21 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_table(documents(spark, sf_dir))
 
 
+def op11_dual_tree_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best of all documents for every benchmark item."""
+    return dual_tree.rank_documents(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op12_m_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 largest inner products of every query row with all other rows."""
+    return m_tree.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their spelling forms."""
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents."""
     import corpus_pipeline
@@ -93,9 +109,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pfair_mixing": op8_pfair_mixing,
         "op9_hash_tree_shards": op9_hash_tree_shards,
         "op10_markov_secrets": op10_markov_secrets,
+        "op11_dual_tree_ranking": op11_dual_tree_ranking,
+        "op12_m_tree_top_k": op12_m_tree_top_k,
+        "op13_spelling_tiles": op13_spelling_tiles,
         "pipeline": pipeline,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op8_pfair_mixing": MIXING_SQL, "op9_hash_tree_shards": SHARDS_SQL}
+    return {"op8_pfair_mixing": MIXING_SQL, "op9_hash_tree_shards": SHARDS_SQL, "op11_dual_tree_ranking": RANKED_SQL,
+            "op12_m_tree_top_k": INNER_PRODUCTS_SQL, "op13_spelling_tiles": VARIANTS_SQL}
