@@ -41,8 +41,8 @@ from herdflow.operators.joins import materialize
 
 K = 10
 SCALE = 1024
-PAGE = 64            # entries of a leaf page
-FANOUT = 16          # routing entries of an inner page
+PAGE = 256           # entries of a leaf page
+FANOUT = 64          # routing entries of an inner page
 TREE_ROWS = 8192     # entries of one tree
 CELL_ROWS = 8192     # entries per cell aimed at
 MAX_CELLS = 1024     # sampled cell centres at most
@@ -73,10 +73,12 @@ class Tree:
         self.order = np.arange(len(vectors))
         self.to_parent = np.zeros(len(vectors))
         # Nodes: routing row, covering radius, distance to the parent's routing
-        # row, children [a, b) (nodes, or places in ``order`` for a leaf).
+        # row, children [a, b) (nodes, or rows for a leaf).
         self.nodes: list[tuple[int, float, float, bool, int, int]] = []
         self._load()
-        self.centre = np.array([n[0] for n in self.nodes])
+        # Rows are kept in page order, so that a page is one stretch of them.
+        self.vectors, self.first = vectors[self.order], first[self.order]
+        self.centre = np.argsort(self.order)[[n[0] for n in self.nodes]]
         self.radius = np.array([n[1] for n in self.nodes])
         self.parent = np.array([n[2] for n in self.nodes])
 
@@ -85,8 +87,8 @@ class Tree:
         return np.sqrt(np.maximum(gap + (self.extra[rows] - self.extra[centre]) ** 2, 0.0))
 
     def _load(self) -> None:
-        """Bulk load from the root: each page's rows go to the nearest of FANOUT
-        routing objects picked far from one another."""
+        """Bulk load from the root: the rows of a subtree go to the nearest of up to
+        FANOUT routing objects."""
         self.nodes.append((0, 0.0, 0.0, True, 0, len(self.order)))
         waiting = [0]
         while waiting:
@@ -100,13 +102,15 @@ class Tree:
                 self.order[a:b], self.to_parent[a:b] = rows[by], far[by]
                 self.nodes[at] = (centre, radius, parent, True, a, b)
                 continue
-            centres, gaps = [centre], [far]
-            least = far.copy()
-            while len(centres) < FANOUT and least.max() > 0.0:
-                centres.append(int(rows[least.argmax()]))
-                gaps.append(self._distances(rows, centres[-1]))
-                np.minimum(least, gaps[-1], out=least)
+            # Routing objects at even steps of the distance to the parent's.
+            steps = np.linspace(0, b - a - 1, min(FANOUT, -(-(b - a) // PAGE))).astype(int)
+            centres = rows[np.argsort(far, kind="stable")[steps]].tolist()
+            gaps = [self._distances(rows, c) for c in centres]
             near = np.argmin(gaps, axis=0)
+            if near.min() == near.max():  # nothing left to tell rows apart by
+                self.order[a:b], self.to_parent[a:b] = rows[np.argsort(far, kind="stable")], np.sort(far)
+                self.nodes[at] = (centre, radius, parent, True, a, b)
+                continue
             by = np.argsort(near, kind="stable")
             self.order[a:b] = rows[by]
             ends = a + np.searchsorted(near[by], np.arange(len(centres) + 1))
@@ -118,7 +122,7 @@ class Tree:
 
     def search(self, query: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, int]:
         """The k best rows of score ``floor`` or more by (score, first id), their
-        scores, and how many distances were computed."""
+        scores, and how many distances were computed. Rows are places in page order."""
         square = float(query @ query)
         margin = 1e-6 * (1.0 + np.sqrt(self.longest + square))
 
@@ -126,7 +130,7 @@ class Tree:
             return np.sqrt(np.maximum(square + self.longest - 2.0 * scores, 0.0))
 
         limit = float(distance(floor)) + margin if np.isfinite(floor) else np.inf
-        rows, scores = np.empty(0, np.int64), np.empty(0)
+        rows, scores, weakest = np.empty(0, np.int64), np.empty(0), floor
         root = float(distance(self.vectors[self.centre[0]] @ query))
         queue = [(root - self.radius[0], 0, root)]
         computed = 1
@@ -138,28 +142,30 @@ class Tree:
             if leaf:
                 # Sorted by distance to the routing object: the triangle
                 # inequality leaves one stretch of the page.
-                lo, hi = a + np.searchsorted(self.to_parent[a:b], (gap - limit, gap + limit + margin))
-                if lo == hi:
+                lo, hi = a, b
+                if gap > limit or gap + limit < self.radius[at]:
+                    lo, hi = a + self.to_parent[a:b].searchsorted((gap - limit, gap + limit + margin))
+                    if lo == hi:
+                        continue
+                score = self.vectors[lo:hi] @ query
+                computed += int(hi - lo)
+                if score.max() < weakest:
                     continue
-                found = self.order[lo:hi]
-                score = self.vectors[found] @ query
-                computed += hi - lo
-                if len(scores) >= k:
-                    good = score >= scores[-1]
-                    found, score = found[good], score[good]
-                rows, scores = np.r_[rows, found], np.r_[scores, score]
+                good = np.flatnonzero(score >= weakest)
+                rows, scores = np.r_[rows, lo + good], np.r_[scores, score[good]]
                 best = np.lexsort((self.first[rows], -scores))[:k]
                 rows, scores = rows[best], scores[best]
                 if len(scores) == k:
-                    limit = min(limit, float(distance(scores[-1])) + margin)
+                    weakest = max(weakest, scores[-1])
+                    limit = min(limit, float(distance(weakest)) + margin)
             else:
                 child = np.arange(a, b)
                 child = child[np.abs(gap - self.parent[a:b]) - self.radius[a:b] <= limit + margin]
                 gaps = distance(self.vectors[self.centre[child]] @ query)
                 computed += len(child)
-                for c, g in zip(child, gaps, strict=True):
-                    if g - self.radius[c] <= limit + margin:
-                        heapq.heappush(queue, (float(g - self.radius[c]), int(c), float(g)))
+                bounds = gaps - self.radius[child]
+                for i in np.flatnonzero(bounds <= limit):
+                    heapq.heappush(queue, (float(bounds[i]), int(child[i]), float(gaps[i])))
         return rows, scores, computed
 
 
@@ -204,12 +210,11 @@ def _index(entries: DataFrame, width: int, longest: float) -> DataFrame:
         flat = ids.values.slice(starts[0], starts[-1] - starts[0])
         first = flat.fill_null(LAST).to_numpy(zero_copy_only=False)[starts[:-1] - starts[0]]
         t = Tree(vectors.astype(float), first, longest)
-        nodes = np.array(t.nodes, float)
+        nodes = np.column_stack([np.array(t.nodes, float)[:, 1:], t.centre])
         cols = [pa.array([cell], pa.int32()), pa.array([len(vectors)], pa.int32())]
-        cols += [pa.array([x.tobytes()], pa.binary()) for x in
-                 (vectors.astype(np.int64), t.order.astype(np.int64), t.to_parent, nodes)]
-        cols.append(pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64()))))
-        return pa.record_batch(cols, names=["cell", "n", "vectors", "places", "to_parent", "nodes", "ids"])
+        cols += [pa.array([x.tobytes()], pa.binary()) for x in (vectors[t.order], t.to_parent, nodes)]
+        cols.append(pa.array([ids.take(pa.array(t.order)).to_pylist()], pa.list_(pa.list_(pa.int64()))))
+        return pa.record_batch(cols, names=["cell", "n", "vectors", "to_parent", "nodes", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held, rows = None, [], 0
@@ -229,7 +234,7 @@ def _index(entries: DataFrame, width: int, longest: float) -> DataFrame:
             yield tree(cell, pa.Table.from_batches(held))
 
     dealt = entries.repartitionByRange("cell", F.xxhash64("v")).sortWithinPartitions("cell")
-    schema = "cell int, n int, vectors binary, places binary, to_parent binary, nodes binary, ids array<array<long>>"
+    schema = "cell int, n int, vectors binary, to_parent binary, nodes binary, ids array<array<long>>"
     return materialize(dealt.mapInArrow(run, schema), "m-trees")
 
 
@@ -238,10 +243,10 @@ def _opened(row: dict, width: int, longest: float) -> Tree:
     t = Tree.__new__(Tree)
     t.vectors = np.frombuffer(row["vectors"], np.int64).reshape(row["n"], width).astype(float)
     t.first = np.array([LAST if i[0] is None else i[0] for i in row["ids"]], np.int64)
-    t.order, t.to_parent = np.frombuffer(row["places"], np.int64), np.frombuffer(row["to_parent"])
+    t.to_parent = np.frombuffer(row["to_parent"])
     nodes = np.frombuffer(row["nodes"]).reshape(-1, 6)
-    t.nodes = [(int(c), r, p, bool(leaf), int(a), int(b)) for c, r, p, leaf, a, b in nodes]
-    t.centre, t.radius, t.parent = nodes[:, 0].astype(int), nodes[:, 1], nodes[:, 2]
+    t.nodes = [(int(c), r, p, bool(leaf), int(a), int(b)) for r, p, leaf, a, b, c in nodes]
+    t.centre, t.radius, t.parent = nodes[:, 5].astype(int), nodes[:, 0], nodes[:, 1]
     t.longest = longest
     return t
 
