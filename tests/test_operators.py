@@ -313,3 +313,20 @@ def test_farm_in_two_integrated_groups_is_refused(spark):
     with pytest.raises(ContractError):
         farm.check_single_group(members)
     farm.check_single_group(members.filter("__farm = 'f2'"))
+
+
+def test_history_variance_of_large_values(spark):
+    """Values near 10^9 with variance 1: no digit is lost, and nothing is negative."""
+    rng = np.random.default_rng(5)
+    rows, values = [], []
+    for i in range(600):
+        x = 1e9 + float(rng.normal(0, 1)) if i % 3 else 1e9 + 0.25
+        rows.append(("P", dt.date(2015 + i % 5, 4, 1), float(30 + i % 9), x, 2.0e9))
+        values.append(x)
+    hist = spark.createDataFrame(rows, "prov string, d date, age double, w double, same double").repartition(7)
+    main = spark.createDataFrame([("P", dt.date(2020, 4, 1), 34.0)], "prov string, d date, age double")
+    r = history.history_stats(main, hist, province="prov", date="d", age="age", numeric_cols=["w", "same"], level_cols={},
+                              history_years=5, min_sample_count=5, age_tolerance=12).first()
+    want = np.var(np.array(values) - 1e9, ddof=1)
+    assert r.PAST_SAMPLE_COUNT == 600 and abs(r.PAST_W_VARIANCE / want - 1) < 1e-6
+    assert r.PAST_SAME_VARIANCE == 0.0 and r.PAST_SAME_MEAN == 2.0e9
