@@ -71,6 +71,52 @@ def q_row_contract(spark, sf_dir):
     return out.select(*[F.col(c).cast("bigint").alias(c) for c in out.columns])
 
 
+# --------------------------------------------------------------------------
+# Row preservation by fingerprint (J3): a join that keeps all rows, and five
+# kinds of damage, each against EXCEPT ALL.
+
+_DAMAGES = {
+    "left_join": ("o_totalprice", "true", ""),
+    "lost": ("o_totalprice", "o_orderkey % 1009 <> 0", ""),
+    "changed": ("CASE WHEN o_orderkey % 1013 = 0 THEN o_totalprice + 1 ELSE o_totalprice END", "true", ""),
+    "repeated": ("o_totalprice", "true", "o_orderkey % 1019 = 0"),
+    "repeated_for_lost": ("o_totalprice", "o_orderkey <> (SELECT min(o_orderkey) FROM orders)",
+                          "o_orderkey = (SELECT max(o_orderkey) FROM orders)"),
+    "set_missing": ("CASE WHEN o_orderkey % 1021 = 0 THEN NULL ELSE o_totalprice END", "true", ""),
+}
+
+
+def _row_fingerprint_sql() -> str:
+    parts = []
+    for name, (price, kept, again) in _DAMAGES.items():
+        after = f"SELECT o_orderkey, o_custkey, {price} AS o_totalprice FROM orders WHERE {kept}"
+        if again:
+            after += f" UNION ALL SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE {again}"
+        before = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"
+        parts.append(f"""SELECT '{name}' AS step, (SELECT CAST(count(*) AS BIGINT) FROM orders) AS rows_before,
+  (SELECT CAST(count(*) AS BIGINT) FROM ({after})) AS rows_after,
+  (SELECT count(*) FROM (({before}) EXCEPT ALL ({after}))) + (SELECT count(*) FROM (({after}) EXCEPT ALL ({before}))) = 0 AS same_rows""")
+    return "\nUNION ALL ".join(parts)
+
+
+@register("row_fingerprint", _row_fingerprint_sql())
+def q_row_fingerprint(spark, sf_dir):
+    cols = ["o_orderkey", "o_custkey", "o_totalprice"]
+    o = table(spark, sf_dir, "orders", *cols)
+    c = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
+    least, most = o.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    out = None
+    for name, (price, kept, again) in _DAMAGES.items():
+        own = [x.replace("(SELECT min(o_orderkey) FROM orders)", str(least))
+               .replace("(SELECT max(o_orderkey) FROM orders)", str(most)) for x in (kept, again)]
+        after = o.join(c, o.o_custkey == c.c_custkey, "left").filter(own[0]).withColumn("o_totalprice", F.expr(price))
+        if again:
+            after = after.select(*cols).unionByName(o.filter(own[1]))
+        row = quality.same_rows(o, after, cols).select(F.lit(name).alias("step"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --------------------------------------------------------------------------
 # Observation filter.
 
@@ -273,11 +319,11 @@ def q_row_ids(spark, sf_dir):
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     ids = dense_row_id(li.drop("l_returnflag"), key, "idx")                 # F10
     ids = ids.withColumn("DATA_ROW_ID", format_row_id("idx", "TRAIN"))      # B30
-    report = li.agg(F.count(F.lit(1)).alias("loaded_rows"),
-                    F.count_if(N.null_tokens("flag_text").isNull()).alias("dropped_rows"))
-    kept, _ = drop_rows_with_missing(ids, ["flag_text"])                    # C1
+    kept, counts = drop_rows_with_missing(ids, ["flag_text"])               # C1
+    kept = materialize(kept, "kept-rows")                                   # counted by this run (J14)
     kept = date_floor_filter(kept, start="l_shipdate", end="l_shipdate", min_start=FIRST_SHIPPED)   # C2
     damaged = kept.withColumn("DATA_ROW_ID", F.when(F.col("l_orderkey") % 97 == 0, F.lit("TRAIN_lost"))
                               .otherwise(F.col("DATA_ROW_ID")))
     check = id_continuity_violations(damaged, "idx", "DATA_ROW_ID", "TRAIN")  # J16
-    return with_scalars(kept.select(*key, "DATA_ROW_ID"), check, report)
+    return with_scalars(kept.select(*key, "DATA_ROW_ID"), check).withColumns(
+        {"loaded_rows": F.lit(counts.get["loaded"]), "dropped_rows": F.lit(counts.get["dropped"])})

@@ -330,3 +330,45 @@ def test_history_variance_of_large_values(spark):
     want = np.var(np.array(values) - 1e9, ddof=1)
     assert r.PAST_SAMPLE_COUNT == 600 and abs(r.PAST_W_VARIANCE / want - 1) < 1e-6
     assert r.PAST_SAME_VARIANCE == 0.0 and r.PAST_SAME_MEAN == 2.0e9
+
+
+def test_row_guard_names_the_step_that_changed_rows(spark):
+    from herdflow.operators.joins import materialize
+
+    df = spark.createDataFrame([(i, float(i % 7), None if i % 5 else "x") for i in range(300)], "id long, v double, s string")
+    lookup = spark.createDataFrame([(float(i), i) for i in range(7)], "v double, extra int")
+
+    def build(twice):
+        guard = quality.RowGuard(["id", "v", "s"])
+        out = guard.watch(df, "load")
+        out = guard.watch(out.repartition(3).join(lookup, "v", "left"), "lookup")
+        if twice:
+            out = out.join(spark.createDataFrame([(2.0, 1), (2.0, 2)], "v double, again int"), "v", "left")
+        out = guard.watch(out, "second lookup")
+        return guard, materialize(out.withColumn("s", F.lit("y")) if twice is None else out)
+
+    guard, written = build(False)
+    guard.require(df, written)
+    assert guard.changed_steps() == []
+    guard, written = build(True)
+    assert guard.changed_steps() == ["second lookup"]
+    with pytest.raises(quality.ContractError, match="second lookup"):
+        guard.require(df, written)
+    empty = df.filter("id < 0")
+    assert quality.same_rows(empty, empty, ["id"]).first().same_rows
+    swapped = df.withColumn("v", F.when(F.col("id") == 1, 2.0).when(F.col("id") == 2, 1.0).otherwise(F.col("v")))
+    assert not quality.same_rows(df, swapped, ["id", "v"]).first().same_rows
+
+
+def test_build_reports_the_run_that_wrote(spark):
+    from herdflow.plans.builder_plans import _feature_table
+    from herdflow.sources.tables import table
+
+    from .conftest import SF_SMALL
+
+    report = {}
+    _feature_table(spark, SF_SMALL, "TRAIN", report)
+    li = table(spark, SF_SMALL, "lineitem", "l_linenumber")
+    n, dropped = li.agg(F.count(F.lit(1)), F.count_if(F.col("l_linenumber") == 7)).first()
+    assert (report["loaded"], report["dropped"], report["rows"]) == (n, dropped, n - dropped)
+    assert report["steps"][0] == "row filter" and report["steps"][-1] == "past history" and len(report["steps"]) == 8
