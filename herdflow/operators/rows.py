@@ -104,3 +104,10 @@ def add_polynomial(df: DataFrame, col: str, out: str | None = None) -> DataFrame
 def zero_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """NULL -> 0 on the given columns (farms without records)."""
     return df.na.fill(0, list(cols))
+
+
+def once(df: DataFrame, expr, name: str) -> DataFrame:
+    """A column evaluated once per row: a generator of one element, which the
+    optimizer does not inline into the expressions that use the column (inside
+    a lambda it would be evaluated again for every element)."""
+    return df.select("*", F.explode(F.array(expr)).alias(name))

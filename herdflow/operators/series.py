@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from herdflow.functions.dates import int_time_features, time_features
 from herdflow.operators.joins import with_scalars
+from herdflow.operators.rows import once
 
 
 def hourly_series(df: DataFrame, *, channel: str, ts: str, value: str) -> DataFrame:
@@ -109,13 +110,13 @@ def instance_norm(df: DataFrame, x: str = "x", eps: float = 1e-5, subtract_last:
     optional affine; keeps the statistics as columns for 'denorm'."""
     n = F.size(x)
     mean = _arr_sum(F.col(x)) / n
-    out = df.withColumn("norm_mean", mean)
+    out = once(df, mean, "norm_mean")
     var = F.aggregate(F.col(x), F.lit(0.0), lambda acc, v: acc + (v - F.col("norm_mean")) * (v - F.col("norm_mean"))) / n
-    out = out.withColumn("norm_stdev", F.sqrt(var + F.lit(eps)))
+    out = once(out, F.sqrt(var + F.lit(eps)), "norm_stdev")
     center = F.element_at(F.col(x), -1) if subtract_last else F.col("norm_mean")
-    out = out.withColumn("norm_center", center)
-    return out.withColumn("x_norm", F.transform(
-        x, lambda v: (v - F.col("norm_center")) / F.col("norm_stdev") * F.lit(affine_weight) + F.lit(affine_bias)))
+    out = once(out, center, "norm_center")
+    return once(out, F.transform(
+        x, lambda v: (v - F.col("norm_center")) / F.col("norm_stdev") * F.lit(affine_weight) + F.lit(affine_bias)), "x_norm")
 
 
 def instance_denorm(df: DataFrame, col: str, out: str, eps: float = 1e-5, affine: bool = False,
@@ -147,10 +148,18 @@ def window_stats(df: DataFrame, x: str = "x") -> DataFrame:
     }).withColumn("w_direction", F.when(F.col("w_trend") > 0, F.lit("upward")).otherwise(F.lit("downward")))
 
 
-def autocorr_lags(df: DataFrame, x: str = "x", top_k: int = 5, out: str = "lags") -> DataFrame:
+# Windows of this length and more are transformed instead of summed lag by lag.
+FFT_LENGTH = 128
+
+
+def autocorr_lags(df: DataFrame, x: str = "x", top_k: int = 5, out: str = "lags", length: int | None = None) -> DataFrame:
     """Circular autocorrelation r[l] = sum_t x[t] * x[(t+l) mod T] for
     lags 1..T-1; the ``top_k`` lags by value (ties: value rounded to 1e-9, then
-    the smaller lag). Pure higher-order functions, O(T^2) per window."""
+    the smaller lag). Short windows use higher-order functions, O(T^2) each; if
+    the windows' ``length`` is known and at least FFT_LENGTH, Arrow batches go
+    through one Fourier transform per length, O(T log T)."""
+    if length is not None and length >= FFT_LENGTH:
+        return autocorr_lags_fft(df, x, top_k, out)
     T = F.size(x)
 
     def r(lag):
@@ -171,10 +180,13 @@ def autocorr_lags_fft(df: DataFrame, x: str = "x", top_k: int = 5, out: str = "l
     import pandas as pd
 
     def lags(col):
+        if len(col) and col.map(len).min() - 1 < top_k:
+            raise ValueError(f"window too short for top_k={top_k}")
         res = pd.Series([None] * len(col), index=col.index, dtype=object)
         for n, same in col.groupby(col.map(len)):        # one call per window length
             f = np.fft.rfft(np.stack(same.to_numpy()).astype(float), axis=1)
             corr = np.fft.irfft(f * np.conj(f), n=n, axis=1)
+            corr[:, 1:] = (corr[:, 1:] + corr[:, :0:-1]) / 2     # r[l] = r[T - l] exactly
             order = np.argsort(-np.round(corr[:, 1:], 9), axis=1, kind="stable")
             for at, lags_of in zip(same.index, (order[:, :top_k] + 1).tolist(), strict=True):
                 res.at[at] = lags_of

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from herdflow.functions.dates import hour_to_day
 from herdflow.functions.nulls import obs_to_float, round_or_sentinel
 from herdflow.operators.joins import with_scalars
+from herdflow.operators.rows import once
 
 DAILY_VARS = ["ta_max", "rn_day", "ta_min", "rhm_avg", "ws_davg"]
 ROLLING_VARS = ["ta_max", "ta_min", "rn_day", "rhm_avg", "ws_davg", "temp_range"]
@@ -22,28 +23,41 @@ ROLLING_WINDOWS = (7, 14, 30, 90)
 
 
 def parse_observation_lines(lines: DataFrame, text_col: str = "value",
-                            time_format: str = "yyyyMMddHHmm") -> DataFrame:
+                            time_format: str = "yyyyMMddHHmm", requests: DataFrame | None = None) -> DataFrame:
     """Skip blank and ``#`` lines, strip a trailing backslash, split on
     commas or whitespace; first field = observation time, second = station,
-    the rest = numeric values (``""``/-99/-99.0/bad text -> NULL)."""
+    the rest = numeric values (``""``/-99/-99.0/bad text -> NULL).
+
+    C11: with ``requests`` (columns ``tm``, the time's text, and ``stn``) only
+    lines of exactly a requested time and station and of at least three fields
+    are kept, by a semi-join before any value is parsed."""
     t = F.regexp_replace(F.trim(F.col(text_col)), r"\\+$", "")
     t = F.trim(t)
     kept = lines.select(t.alias("__line")).filter((F.col("__line") != "") & ~F.col("__line").startswith("#"))
     # Each array is computed once per line: a one-element explode is a
     # generator, which the optimizer does not inline into every consumer
     # (otherwise the split and the value parsing repeat per field).
-    parts = _once(kept, F.split(F.col("__line"), r"\s*,\s*|\s+"), "__parts")
+    parts = once(kept, F.split(F.col("__line"), r"\s*,\s*|\s+"), "__parts")
+    if requests is not None:
+        wanted = requests.select(F.col("tm").alias("__tm"), F.col("stn").cast("int").alias("__stn"))
+        parts = parts.filter(F.size("__parts") >= 3).join(wanted, (F.get("__parts", 0) == F.col("__tm"))
+                           & (F.get("__parts", 1).try_cast("int") == F.col("__stn")), "left_semi")
     parsed = parts.select(
         F.try_to_timestamp(F.get("__parts", 0), F.lit(time_format)).alias("tm"),
         F.get("__parts", 1).try_cast("int").alias("stn"),
         F.transform(F.slice("__parts", F.lit(3), F.greatest(F.size("__parts") - 2, F.lit(0))), lambda v: obs_to_float(v)).alias("__values"))
-    parsed = _once(parsed, F.col("__values"), "values").drop("__values")
+    parsed = once(parsed, F.col("__values"), "values").drop("__values")
     return parsed.filter(F.col("tm").isNotNull() & F.col("stn").isNotNull())
 
 
-def _once(df: DataFrame, expr, name: str) -> DataFrame:
-    """Evaluate ``expr`` once per row and expose it as a plain column."""
-    return df.select("*", F.explode(F.array(expr)).alias(name))
+def request_grid(stations: DataFrame, bounds: DataFrame, hours: Sequence[int], stn: str = "stn",
+                 time_format: str = "yyyyMMddHHmm") -> DataFrame:
+    """C11: (tm, stn) of every station and every one of the ``hours`` of the days
+    between the ``start`` and ``end`` of a one-row table."""
+    each = F.sequence(F.date_trunc("hour", F.col("start")), F.date_trunc("hour", F.col("end")), F.expr("INTERVAL 1 HOUR"))
+    grid = with_scalars(stations.select(F.col(stn).alias("stn")).distinct(), bounds.select("start", "end"))
+    grid = grid.select("stn", F.explode(each).alias("t")).filter(F.hour("t").isin(list(hours)))
+    return grid.select(F.date_format("t", time_format).alias("tm"), "stn")
 
 
 def hourly_to_daily(obs: DataFrame, *, stn: str = "stn", tm: str = "tm",

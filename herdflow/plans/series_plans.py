@@ -197,7 +197,7 @@ SELECT split, channel, CAST(start AS INTEGER) AS start, array_to_string(lags, ',
 
 
 def _lagged(spark, sf_dir):
-    return autocorr_lags(_stats(spark, sf_dir), x="x_norm", top_k=5)
+    return autocorr_lags(_stats(spark, sf_dir), x="x_norm", top_k=5, length=SEQ)
 
 
 @register("autocorr_lags", AUTOCORR_SQL)
@@ -207,6 +207,32 @@ def q_autocorr_lags(spark, sf_dir):
                     F.array_join("lags", ",").alias("lags"))
 
 
+# The reference's own window, over the whole series (no split is long enough).
+LONG_SEQ, LONG_PRED = 512, 96
+
+LONG_LAGS_SQL = f"""
+WITH {SCALED_SQL},
+wl AS (SELECT channel, idx AS start, list(scaled) OVER (PARTITION BY channel ORDER BY idx ROWS BETWEEN CURRENT ROW AND {LONG_SEQ + LONG_PRED - 1} FOLLOWING) AS w FROM sc),
+win AS (SELECT channel, start, w[1:{LONG_SEQ}] AS x FROM wl WHERE len(w) = {LONG_SEQ + LONG_PRED}),
+{NORM_SQL},
+ws2 AS (SELECT * FROM nx),
+{LAGS_SQL}
+SELECT channel, CAST(start AS INTEGER) AS start, array_to_string(lags, ',') AS lags FROM lg
+"""
+
+
+@register("autocorr_lags_long", LONG_LAGS_SQL)
+def q_autocorr_lags_long(spark, sf_dir):
+    e = table(spark, sf_dir, "events", "ts", "event_type", "value")
+    s = hourly_series(e.withColumn("v", F.floor("value").cast("double")), channel="event_type", ts="ts", value="v")
+    n = e.agg((F.unix_timestamp(F.max(F.date_trunc("hour", "ts")))
+               - F.unix_timestamp(F.min(F.date_trunc("hour", "ts")))).alias("s")).first()["s"]
+    s = standardise(s, fit_filter=F.col("idx") < ((n or 0) // 3600 + 1) // 2)
+    w = sliding_windows(s, seq_len=LONG_SEQ, pred_len=LONG_PRED, group=("channel",), pos="idx", value="scaled")
+    a = autocorr_lags(instance_norm(w), x="x_norm", top_k=5, length=LONG_SEQ)
+    return a.select("channel", F.col("start").cast("int").alias("start"), F.array_join("lags", ",").alias("lags"))
+
+
 def _fixed4_sql(e):
     k = f"CAST(round(({e}) * 10000.0::DOUBLE) AS BIGINT)"
     return (f"(CASE WHEN {k} < 0 THEN '-' ELSE '' END || CAST(abs({k}) // 10000 AS VARCHAR) || '.' || "

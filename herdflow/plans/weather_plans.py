@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from herdflow.operators.joins import materialize
 from herdflow.operators.weather import (DAILY_VARS, ROLLING_VARS, ROLLING_WINDOWS, complete_daily,
                                         daily_output, hourly_to_daily, monthly_weather,
-                                        parse_observation_lines, rolling_features, station_day_grid)
+                                        parse_observation_lines, request_grid, rolling_features, station_day_grid)
 from herdflow.plans.common import round_doubles
 from herdflow.plans.registry import register
 from herdflow.sources.tables import table
@@ -31,8 +31,10 @@ def _obs_lines(spark, sf_dir):
         F.when(F.col("event_id") % 4 == 0, F.lit(-99)).when(F.col("event_id") % 4 == 1, F.lit(-1))
          .otherwise(fl % 15),                                                               # v10 WS1_AVG
     ]
-    body = [tm, (F.col("user_id") % 10).cast("string")] + [f.cast("string") for f in fields]
-    line = (F.when(F.col("event_type") == "error", F.concat(F.lit("# "), F.concat_ws(" ", *body)))
+    head = [tm, (F.col("user_id") % 10).cast("string")]
+    body = head + [f.cast("string") for f in fields]
+    bare = (F.col("event_type") != "error") & (F.col("event_id") % 17 == 0)     # time and station only
+    line = (F.when(bare, F.concat_ws(" ", *head)).when(F.col("event_type") == "error", F.concat(F.lit("# "), F.concat_ws(" ", *body)))
              .when(F.col("event_type") == "click", F.concat_ws(", ", *body))
              .when(F.col("event_type") == "view", F.concat(F.concat_ws(" ", *body), F.lit(" \\")))
              .otherwise(F.concat_ws(" ", *body)))
@@ -44,10 +46,15 @@ def _stations(spark, sf_dir):
     return n.select((F.col("n_regionkey") * 2).alias("stn")).distinct()
 
 
+# Every sixth hour (of the time on the line) is not asked for.
+HOURS = [h for h in range(24) if h % 6 != 5]
+
+
 def _daily(spark, sf_dir):
-    obs = parse_observation_lines(_obs_lines(spark, sf_dir))
     stations = _stations(spark, sf_dir)
-    obs = obs.join(stations, "stn", "left_semi")                          # C11
+    hour = F.date_trunc("hour", "ts") + F.expr("INTERVAL 1 HOUR")
+    times = table(spark, sf_dir, "events", "ts").agg(F.min(hour).alias("start"), F.max(hour).alias("end"))
+    obs = parse_observation_lines(_obs_lines(spark, sf_dir), requests=request_grid(stations, times, HOURS))  # A8, C11
     daily = materialize(hourly_to_daily(obs), "daily")        # read for the bounds and again for the grid
     bounds = daily.agg(F.min("day").alias("start"), F.max("day").alias("end"))
     return complete_daily(daily, station_day_grid(stations, bounds))
@@ -63,7 +70,7 @@ _OBS_SQL = """
       CASE WHEN event_id % 4 = 0 THEN CAST(floor(value) AS BIGINT) % 20
            WHEN event_id % 4 = 1 THEN CAST(floor(value) AS BIGINT) % 20
            ELSE CAST(floor(value) AS BIGINT) % 15 END AS ws
-    FROM events WHERE event_type <> 'error'),
+    FROM events WHERE event_type <> 'error' AND event_id % 17 <> 0 AND hour(date_trunc('hour', ts) + INTERVAL 1 HOUR) % 6 <> 5),
   st AS (SELECT DISTINCT n_regionkey * 2 AS stn FROM nation),
   d AS (SELECT stn, day, max(tmax) AS ta_max, max(rn) AS rn_day, min(tmin) AS ta_min,
           avg(hm) AS rhm_avg, avg(ws) AS ws_davg FROM obs WHERE stn IN (SELECT stn FROM st) GROUP BY stn, day),

@@ -372,3 +372,61 @@ def test_build_reports_the_run_that_wrote(spark):
     n, dropped = li.agg(F.count(F.lit(1)), F.count_if(F.col("l_linenumber") == 7)).first()
     assert (report["loaded"], report["dropped"], report["rows"]) == (n, dropped, n - dropped)
     assert report["steps"][0] == "row filter" and report["steps"][-1] == "past history" and len(report["steps"]) == 8
+
+
+# ------------------------------------------------------- observations, recounts, lags
+
+def test_observation_lines_of_requested_times_only(spark):
+    lines = ["202401010100 3 1 2", "202401010200 3 1 2", "202401010100 4 1 2", "202401010100 3", "# 202401010100 3 1 2",
+             "202401010100, 3, 5, -99 \\", "2024010101 3 1 2", "202401010100 x 1 2", ""]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    wanted = spark.createDataFrame([("202401010100", 3), ("202401010100", 5), ("202401010100", 3)], "tm string, stn int")
+    found = weather.parse_observation_lines(df, requests=wanted).collect()
+    assert sorted((r.tm.hour, r.stn, r["values"]) for r in found) == [(1, 3, [1.0, 2.0]), (1, 3, [5.0, None])]
+    assert weather.parse_observation_lines(df).count() == 5
+    bounds = spark.createDataFrame([(dt.datetime(2024, 1, 1, 1), dt.datetime(2024, 1, 2, 0))], "start timestamp, end timestamp")
+    grid = weather.request_grid(spark.createDataFrame([(1,), (2,), (1,)], "stn int"), bounds, [0, 1, 23])
+    assert sorted((r.tm, r.stn) for r in grid.collect()) == sorted(
+        (t, s) for s in (1, 2) for t in ("202401010100", "202401012300", "202401020000"))
+
+
+def test_recount_finds_a_damaged_last_year(spark):
+    children = spark.createDataFrame([("c1", 2019, "f1"), ("c1", 2018, "f1"), ("c2", 2020, "f1"), ("c3", 2021, "f2"),
+                                      ("c4", None, "f3"), ("c5", 2018, None)], "c string, y int, f string")
+    years = lineage.target_years((spark.createDataFrame([(2019,), (2020,), (2021,)], "y int"), "y"))
+    counts = lineage.offspring_by_year(children, child="c", year="y", roles={"FATHER": "f"}, years=years)
+    args = {"child": "c", "year": "y", "roles": {"FATHER": "f"}}
+    r = quality.recount_last_year(children, counts, **args).first()
+    assert (r.ROLE, r.parents, r.mismatches) == ("FATHER", 3, 0)
+    last = (F.col("TARGET_YEAR") == 2021) & (F.col("LINEAGE_NO") == "f1")
+    wrong = counts.withColumn("PAST_OFFSPRING_COUNT", F.col("PAST_OFFSPRING_COUNT") - last.cast("long"))
+    assert quality.recount_last_year(children, wrong, **args).first().mismatches == 1
+    gone = counts.filter("LINEAGE_NO <> 'f3'")
+    assert quality.recount_last_year(children, gone, **args).first().mismatches == 1
+    early = counts.withColumn("PAST_OFFSPRING_COUNT", F.col("PAST_OFFSPRING_COUNT") + (F.col("TARGET_YEAR") == 2019).cast("long"))
+    assert quality.recount_last_year(children, early, **args).first().mismatches == 0
+
+
+def test_imputable_rows_equals_the_rows_that_imputation_fills(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, int(rng.integers(0, 12)) if i % 11 else None, int(rng.integers(2018, 2021)) if i % 13 else None,
+             float(rng.integers(0, 9)) if i % 3 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, farm long, year int, v double")
+    members = spark.createDataFrame([("1", "g"), ("2", "g"), ("3", "h")], "__farm string, __group string")
+    for m in (None, members):
+        means = lineage.farm_year_means(df, farm="farm", year="year", values=["v"], members=m)
+        filled = lineage.impute_from_group_year(df, means, farm="farm", year="year", value="v", members=m, min_samples=5)
+        n = lineage.imputable_rows(df, farm="farm", year="year", values={"n": "v"}, members=m, min_samples=5).first().n
+        assert n == filled.filter("v_IMPUTED = 'YES'").count() > 0
+    assert lineage.imputable_rows(df.filter("id < 0"), farm="farm", year="year", values={"n": "v"}).first().n == 0
+
+
+def test_long_windows_are_transformed(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 160)]) for i in range(6)] + [(6, [1.0, -1.0] * 80)]
+    df = spark.createDataFrame(rows, "id int, x array<double>")
+    direct = {r.id: r.lags for r in series.autocorr_lags(df).collect()}
+    chosen = series.autocorr_lags(df, length=160)
+    assert "ArrowEvalPython" in chosen._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.lags for r in chosen.collect()} == direct and direct[6] == [2, 4, 6, 8, 10]
+    assert "ArrowEvalPython" not in series.autocorr_lags(df, length=48)._jdf.queryExecution().executedPlan().toString()
