@@ -227,8 +227,18 @@ def stamp_features(df: DataFrame, ts: str, timeenc: int = 1, freq: str = "h") ->
     return df.withColumns(feats)
 
 
-def forecast_scores(df: DataFrame, *, pred: str, true: str, group: Sequence[str] = ()) -> DataFrame:
-    """Exact global MSE and MAE over every predicted step."""
+def forecast_scores(df: DataFrame, *, pred: str, true: str, group: Sequence[str] = (), features: str = "M",
+                    target: str | None = None, channel: str = "channel") -> DataFrame:
+    """Exact global MSE and MAE over every predicted step. ``MS`` (many
+    channels in, one out) scores the ``target`` channel only, by default the last."""
+    if features == "MS":
+        if target is None:
+            last = df.agg(F.max(channel).alias("__last"))
+            df = with_scalars(df, last).filter(F.col(channel) == F.col("__last")).drop("__last")
+        else:
+            df = select_channels(df, "S", target, channel)
+    elif features not in ("M", "S"):
+        raise ValueError("features must be one of M, MS, S")
     pairs = df.select(*group, F.explode(F.arrays_zip(F.col(pred).alias("p"), F.col(true).alias("y"))).alias("__z"))
     d = F.col("__z.p") - F.col("__z.y")
     return pairs.groupBy(*group).agg(F.avg(d * d).alias("mse"), F.avg(F.abs(d)).alias("mae"),

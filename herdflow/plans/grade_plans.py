@@ -86,19 +86,9 @@ def q_grade_class_builder(spark, sf_dir):
 
 
 def _numeric_scores(spark, sf_dir):
-    """The tabular and sequence learners read numeric scores (missing = NULL):
-    the same values as ``to_number`` of the text scores, derived directly."""
-    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-               "l_returnflag", "l_discount", "l_tax", "l_quantity")
-    part = table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice")
-    j = li.join(part, li.l_partkey == part.p_partkey)
-    missing = (F.col("l_linenumber") >= 6) | ((F.col("l_orderkey") % 17) == 0)
-
-    def score(shift):
-        return F.when(~missing, ((F.col("p_size") + F.lit(shift)) % 9 + 1).cast("double"))
-    return j.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_discount",
-                    "l_tax", "l_quantity", "p_size", "p_retailprice",
-                    *[score(i).alias(c) for i, c in enumerate(SCORES.values())])
+    """The tabular and sequence learners read numeric scores: the text scores
+    with missing marks, -99 and junk cleaned (B3, B4)."""
+    return _scored(spark, sf_dir).withColumns({c: N.sentinel_to_null(N.to_number(c)) for c in SCORES.values()})
 
 
 def _tabular_sql():
@@ -458,3 +448,38 @@ def q_row_sums_clipped(spark, sf_dir):
         R.positive_only("q").alias("q_positive"),
         N.null_to_zero("q").cast("double").alias("q_filled"),
         R.safe_ratio(R.row_sum(["d", "t"]), total).alias("share_known")))
+
+
+# --------------------------------------------------------------------------
+# Grade texts of the two sources brought to one form.
+
+_QUALITY = ["1++등급", "1+등급", "1등급", "2", "3등급", "등외등급", "등외", "-99", "", "특"]
+_QUANTITY = ["A", "B", "C", "D", "E", "-99", "", "a"]
+
+
+def _pick_sql(texts, key):
+    return "CASE " + " ".join(f"WHEN {key} = {i} THEN '{t}'" for i, t in enumerate(texts)) + " END"
+
+
+LAST_GRADES_SQL = f"""
+WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_pick_sql(_QUALITY, 'l_partkey % 11')} AS q,
+             {_pick_sql(_QUANTITY, 'l_suppkey % 9')} AS y FROM lineitem),
+n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+        CASE WHEN q IN ('1++등급', '1+등급', '1등급', '2등급', '3등급', '등외등급') THEN replace(q, '등급', '') ELSE q END AS quality,
+        CASE WHEN y IN ('A', 'B', 'C', 'D', '-99') THEN y ELSE '-99' END AS quantity FROM t)
+SELECT *, CASE WHEN quality = '등외' THEN '등외' WHEN quality IS NULL OR quality IN ('-99', '') OR quantity IN ('-99', '') THEN '-99'
+  ELSE quality || quantity END AS last_grade
+FROM n
+"""
+
+
+@register("last_grades", LAST_GRADES_SQL)
+def q_last_grades(spark, sf_dir):
+    from herdflow.functions.grades import last_grade_compose, quality_grade_norm, quantity_grade_norm
+
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    pick = lambda texts, key: F.get(F.array(*[F.lit(t) for t in texts]), key.cast("int"))
+    raw = li.withColumns({"q": pick(_QUALITY, F.col("l_partkey") % 11), "y": pick(_QUANTITY, F.col("l_suppkey") % 9)})
+    out = raw.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", quality_grade_norm("q").alias("quality"),
+                     quantity_grade_norm("y").alias("quantity"))
+    return out.withColumn("last_grade", last_grade_compose("quality", "quantity"))

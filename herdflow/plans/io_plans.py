@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from herdflow.functions.nulls import text_or_empty
 from herdflow.plans.registry import register
 from herdflow.session import scratch_path
-from herdflow.sources.io import (file_metadata, land_json, read_back, read_back_check, scan_csv,
-                                 scan_json_records, sink)
+from herdflow.sources.io import (file_digests, file_metadata, land_json, read_back, read_back_check, read_run_metadata,
+                                 scan_csv, scan_json_records, sink, write_run_metadata)
 from herdflow.sources.tables import table
 from herdflow.operators.joins import with_scalars
 
@@ -77,3 +77,43 @@ def q_flatten_json(spark, sf_dir):
               "detail STRUCT<k: BIGINT, user_id: BIGINT, when: STRUCT<day: STRING>>")
     flat = scan_json_records(spark, landing, schema=schema)      # A7
     return flat.withColumn("event_type", text_or_empty("event_type"))   # B31
+
+
+# Run metadata (A14): counts, rule and digests of the written files as JSON,
+# read back and compared with a second digest of the files, read in small parts.
+RUN_METADATA_SQL = """
+SELECT CAST(count(*) AS BIGINT) AS train_rows,
+  CAST(count(c_custkey) AS BIGINT) AS matched_rows, CAST(count(*) - count(c_custkey) AS BIGINT) AS unmatched_rows,
+  CAST(count(DISTINCT o_custkey) AS BIGINT) AS valid_farm_count, list_sort(list(DISTINCT year(o_orderdate))) [1] AS first_year,
+  'ORDER_YEAR < TARGET_YEAR' AS rule, CAST(3 AS BIGINT) AS source_folders, true AS digests_hold, true AS sizes_hold, true AS has_time
+FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0) ON o_custkey = c_custkey
+"""
+
+
+@register("run_metadata", RUN_METADATA_SQL)
+def q_run_metadata(spark, sf_dir):
+    import datetime as dt
+
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+    c = table(spark, sf_dir, "customer", "c_custkey").filter(F.col("c_custkey") % 5 != 0)
+    counts = o.join(c, o.o_custkey == c.c_custkey, "left").agg(
+        F.count(F.lit(1)).alias("train_rows"), F.count("c_custkey").alias("matched_rows"),
+        F.count_if(F.col("c_custkey").isNull()).alias("unmatched_rows"),
+        F.count_distinct("o_custkey").alias("valid_farm_count"),
+        F.min(F.year("o_orderdate")).cast("bigint").alias("first_year")).first()
+    sources, record_path = scratch_path(spark, "orders-source"), scratch_path(spark, "run-metadata")
+    sink(o, sources, "csv", partition_by=["o_orderstatus"])
+    pattern = sources + "/*/*.csv"
+    files = {f.path: {"size": f["size"], "sha256": f.digest} for f in file_digests(spark, pattern).collect()}
+    write_run_metadata(spark, record_path, {**counts.asDict(), "rule": "ORDER_YEAR < TARGET_YEAR", "source_files": files,
+                                            "generated_at": dt.datetime.now(dt.timezone.utc).isoformat()})
+    record = read_run_metadata(spark, record_path)
+    again = file_digests(spark, pattern).collect()
+    sizes = {f.path: f.length for f in spark.read.format("binaryFile").load(pattern).select("path", "length").collect()}
+    held = record["source_files"]
+    names = [*counts.asDict(), "rule"]
+    row = tuple(record[n] for n in names) + (
+        len({p.split("/")[-2] for p in held}), held == {f.path: {"size": f["size"], "sha256": f.digest} for f in again},
+        sizes == {p: f["size"] for p, f in held.items()}, "T" in record["generated_at"])
+    schema = ", ".join(f"{n} long" for n in counts.asDict()) + ", rule string"
+    return spark.createDataFrame([row], schema + ", source_folders long, digests_hold boolean, sizes_hold boolean, has_time boolean")

@@ -33,4 +33,5 @@ def load_all() -> None:
     from herdflow.plans import (  # noqa: F401
         history_plans, grade_plans, farm_plans, lineage_plans, weather_plans,
         series_plans, learn_plans, quality_plans, io_plans, stream_plans, contract_plans, builder_plans,
+        matrix_plans,
     )

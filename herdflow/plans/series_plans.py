@@ -300,3 +300,26 @@ def q_forecast_error(spark, sf_dir):
     per = forecast_scores(w, pred="p", true="y", group=("channel",))
     overall = forecast_scores(w, pred="p", true="y").select(F.lit("ALL").alias("channel"), "mse", "mae", "n_steps")
     return round_doubles(per.unionByName(overall))
+
+
+# Many channels in, one out: only the target channel is scored.
+FORECAST_MS_SQL = f"""
+WITH {WINDOWS_SQL},
+pr AS (SELECT channel, x, y, list_transform(range({PRED}), lambda j: x[{SEQ} - {SEASON} + (j % {SEASON}) + 1]) AS p
+       FROM win WHERE split = 'test'),
+z AS (SELECT channel, unnest(list_transform(list_zip(p, y), lambda q: q[1] - q[2])) AS d FROM pr)
+SELECT 'last' AS target, round(avg(d * d), 6) AS mse, round(avg(abs(d)), 6) AS mae, count(*) AS n_steps FROM z
+WHERE channel = (SELECT max(channel) FROM z)
+UNION ALL
+SELECT 'click', round(avg(d * d), 6), round(avg(abs(d)), 6), count(*) FROM z WHERE channel = 'click'
+"""
+
+
+@register("forecast_error_ms", FORECAST_MS_SQL)
+def q_forecast_error_ms(spark, sf_dir):
+    w = _windows(spark, sf_dir).filter(F.col("split") == "test")
+    w = w.withColumn("p", F.transform(F.sequence(F.lit(0), F.lit(PRED - 1)),
+                                      lambda j: F.element_at("x", F.lit(SEQ - SEASON + 1) + j % SEASON)))
+    last = forecast_scores(w, pred="p", true="y", features="MS").withColumn("target", F.lit("last"))
+    click = forecast_scores(w, pred="p", true="y", features="MS", target="click").withColumn("target", F.lit("click"))
+    return round_doubles(last.unionByName(click).select("target", "mse", "mae", "n_steps"))

@@ -8,9 +8,10 @@ CSV reader already drops a UTF-8 BOM from the first header.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -51,6 +52,39 @@ def scan_many(spark: SparkSession, pattern: str, schema: StructType | str, fmt:
     return df.select("*", F.col("_metadata.file_name").alias("source_file"))
 
 
+def scan_files(spark: SparkSession, pattern: str, schema: StructType | str, fmt: str = "csv",
+               name: Column | None = None) -> DataFrame:
+    """A9 + F14: rows of every file matching a glob with ``source_file`` (its
+    name, or ``name``, an expression over ``_metadata``) and ``row_index``, the
+    row's 0-based place in its file.
+
+    A file may be read by many tasks: rows are numbered densely in the order of
+    file, split and place in the split, and each file's first number is taken off."""
+    from herdflow.operators.joins import materialize
+    from herdflow.operators.rows import dense_row_id
+
+    reader = spark.read.schema(schema)
+    if fmt == "csv":
+        reader = reader.option("header", True)
+    rows = reader.format(fmt).load(pattern)
+    held = materialize(rows.select("*", (F.col("_metadata.file_name") if name is None else name).alias("source_file"),
+                                   F.col("_metadata.file_path").alias("__path"),
+                                   F.col("_metadata.file_block_start").alias("__block"),
+                                   F.monotonically_increasing_id().alias("__place")), "files")
+    numbered = dense_row_id(held, ["source_file", "__path", "__block", "__place"], "__n")
+    first = numbered.groupBy(F.col("source_file").alias("__file")).agg(F.min("__n").alias("__first"))
+    out = numbered.join(first, F.col("source_file").eqNullSafe(F.col("__file")))
+    return out.withColumn("row_index", F.col("__n") - F.col("__first")).drop(
+        "__path", "__block", "__place", "__n", "__file", "__first")
+
+
+def sink_per_input(df: DataFrame, path: str, save_type: str, source: str = "source_file", mode: str = "overwrite") -> None:
+    """One output per input file, in folders ``source=<name>``. Meant for
+    results bounded per input, such as samples: the rows of one input are written
+    by one task."""
+    sink(df.repartition(source), path, save_type, mode=mode, partition_by=[source])
+
+
 def scan_json_records(spark: SparkSession, path: str, schema: StructType | str | None = None,
                       multiline: bool = False) -> DataFrame:
     """JSON records (one object per line, or a whole document with
@@ -147,6 +181,61 @@ def file_metadata(spark: SparkSession, pattern: str) -> DataFrame:
                         F.sha2(F.col("content"), 256).alias("sha256"))
 
 
+PART_BYTES = 64 * 1024 * 1024
+
+
+def file_digests(spark: SparkSession, pattern: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Per file path, size, modification time and a digest that is the same
+    for every way of reading: the SHA-256 of the hexadecimal SHA-256 of each
+    ``part_bytes`` of the file, in order.
+
+    Files of one part are read by Spark; larger ones are cut into ranges that
+    tasks read on their own (``pyarrow.fs``), so no file enters one row or task.
+    Spark's file scan lists no empty files; they have no row."""
+    import hashlib
+
+    import pyarrow as pa
+
+    files = spark.read.format("binaryFile").load(pattern)
+    facts = ["path", F.col("length").alias("size"), "modificationTime"]
+    small = files.filter(F.col("length") <= part_bytes).select(
+        *facts, F.sha2(F.sha2("content", 256).cast("binary"), 256).alias("digest"))
+    large = files.filter(F.col("length") > part_bytes).select(*facts)
+    parts = large.select(*facts[:1], "size", "modificationTime", F.explode(F.sequence(
+        F.lit(0).cast("long"), ((F.col("size") - 1) / part_bytes).cast("long"))).alias("part"))
+
+    def hashed(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            out = []
+            for path, part in zip(batch.column("path").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                uri = path if "://" in path or not path.startswith("file:") else "file://" + path[5:]
+                store, name = fs.FileSystem.from_uri(uri)
+                digest = hashlib.sha256()
+                with store.open_input_file(name) as f:
+                    for at in range(part * part_bytes, min((part + 1) * part_bytes, f.size()), 1 << 23):
+                        digest.update(f.read_at(min(1 << 23, (part + 1) * part_bytes - at), at))
+                out.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "hash"])
+
+    ranges = parts.repartition("path", "part").mapInArrow(
+        hashed, "path string, size long, modificationTime timestamp, part long, hash string")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "hash"))), lambda x: x["hash"]), "")
+    large = ranges.groupBy("path", "size", "modificationTime").agg(F.sha2(whole.cast("binary"), 256).alias("digest"))
+    return small.unionByName(large)
+
+
+def write_run_metadata(spark: SparkSession, path: str, record: Mapping) -> None:
+    """One JSON object with a run's paths, counts, rules and source files."""
+    text = json.dumps(record, ensure_ascii=False, sort_keys=True, default=str)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_run_metadata(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()["value"])
+
+
 def land_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Raw JSON landing (one object per line)."""
     df.write.mode(mode).json(path)

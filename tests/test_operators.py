@@ -430,3 +430,34 @@ def test_long_windows_are_transformed(spark):
     assert "ArrowEvalPython" in chosen._jdf.queryExecution().executedPlan().toString()
     assert {r.id: r.lags for r in chosen.collect()} == direct and direct[6] == [2, 4, 6, 8, 10]
     assert "ArrowEvalPython" not in series.autocorr_lags(df, length=48)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_known_value_and_area_contracts(spark):
+    rows = [(1, 3, 5.0), (1, 1, None), (1, 2, 7.0), (2, 1, None), (3, 9, 0.0)]
+    df = spark.createDataFrame(rows, "k int, o int, v double")
+    assert {r.k: r.x for r in farm.first_known(df, key="k", value="v", order=["o"], out="x").collect()} == {1: 7.0, 2: None, 3: 0.0}
+    area = lambda rows: spark.createDataFrame(rows, "f string, a double, n double")
+    cand = spark.createDataFrame([("1", "g", "HIGH"), ("2", "g", "HIGH")], "f string, g string, s string")
+    args = {"farm": "f", "area_col": "a", "avg_col": "n", "group": "g", "strength": "s"}
+    farm.farm_area_lookup(area([("1", 5.0, 1.0), ("1", 5.0, 2.0), ("2", 5.0, 1.0), ("3", 9.0, 1.0)]), cand, **args).collect()
+    for bad, text in (([("3", 5.0, 1.0), ("3", 6.0, 1.0)], "farms"), ([("1", 5.0, 1.0), ("2", 6.0, 1.0)], "groups")):
+        with pytest.raises(quality.ContractError, match=text):
+            farm.farm_area_lookup(area(bad), cand, **args)
+
+
+def test_scores_of_the_last_channel_only(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0], [1.0, 4.0]), ("b", [0.0], [3.0])], "channel string, p array<double>, y array<double>")
+    score = lambda **k: tuple(series.forecast_scores(df, pred="p", true="y", **k).first())
+    assert score() == (13 / 3, 5 / 3, 3) and score(features="MS") == (9.0, 3.0, 1)
+    assert score(features="MS", target="a") == (2.0, 1.0, 2)
+    with pytest.raises(ValueError):
+        score(features="X")
+
+
+def test_weighted_quantiles_equal_repeated_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(float(rng.integers(0, 30)) if i % 6 else None, int(rng.integers(1, 9))) for i in range(80)]
+    df = spark.createDataFrame(rows, "x double, n int")
+    each = df.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    probs = [0.0, 0.1, 0.5, 0.83, 1.0]
+    assert learn.exact_quantiles(df, "x", probs, weight="n") == learn.exact_quantiles(each, "x", probs)

@@ -69,3 +69,76 @@ def test_stream_waits_without_a_limit(spark):
 
     assert inspect.signature(run_available_now).parameters["timeout_s"].default is None
     assert inspect.signature(incremental_append).parameters["timeout_s"].default is None
+
+
+def test_rows_are_numbered_inside_their_file(spark):
+    base = tempfile.mkdtemp(prefix="herdflow-files-")
+    sizes = {"a": 2500, "b": 1, "c": 40}
+    for name, n in sizes.items():
+        with open(os.path.join(base, f"{name}.csv"), "w") as f:
+            f.write("k,v\n" + "".join(f"{(i * 7919) % 100003},{i}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")       # files are read by many tasks
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        rows = io.scan_files(spark, base + "/*.csv", "k long, v long")
+        assert rows.rdd.getNumPartitions() > 0
+        got = rows.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert all(r.v == r.row_index for r in got)
+    assert {n + ".csv": c for n, c in sizes.items()} == {
+        f: sum(r.source_file == f for r in got) for f in {r.source_file for r in got}}
+
+    from herdflow.operators.learn import sample_per_file
+
+    sample = sample_per_file(spark.createDataFrame(got), key=["k"], chunk_rows=1000, per_chunk=30, total=70)
+    kept = sample.collect()
+    per_chunk = {}
+    for r in kept:
+        assert r.chunk == r.row_index // 1000
+        per_chunk[r.source_file, r.chunk] = per_chunk.get((r.source_file, r.chunk), 0) + 1
+    assert all(n <= 30 for n in per_chunk.values())
+    assert {f: sum(n for (g, _), n in per_chunk.items() if g == f) for f in ("a.csv", "b.csv", "c.csv")} == {
+        "a.csv": 70, "b.csv": 1, "c.csv": 30}
+    out = tempfile.mkdtemp(prefix="herdflow-samples-")
+    io.sink_per_input(sample, out, "csv")
+    folders = sorted(d for d in os.listdir(out) if d.startswith("source_file="))
+    assert folders == [f"source_file={n}.csv" for n in "abc"]
+    assert all(len([x for x in os.listdir(os.path.join(out, d)) if x.endswith(".csv")]) == 1 for d in folders)
+
+
+def test_digest_is_the_same_by_parts_and_metadata_comes_back(spark):
+    import hashlib
+
+    base = tempfile.mkdtemp(prefix="herdflow-digest-")
+    contents = {"empty": b"", "small": b"abc", "exact": b"x" * 1000, "large": os.urandom(5003)}
+    for name, data in contents.items():
+        with open(os.path.join(base, name), "wb") as f:
+            f.write(data)
+
+    def digest(data, part):
+        parts = [data[i:i + part] for i in range(0, len(data), part)] or [b""]
+        return hashlib.sha256("".join(hashlib.sha256(p).hexdigest() for p in parts).encode()).hexdigest()
+
+    for part in (1000, 10_000):
+        found = {os.path.basename(r.path): (r["size"], r.digest) for r in io.file_digests(spark, base + "/*", part).collect()}
+        assert found == {n: (len(d), digest(d, part)) for n, d in contents.items() if d}
+    record = {"rows": 3, "rule": "A < B", "paths": {"in": base}, "name": "é"}
+    io.write_run_metadata(spark, os.path.join(base, "record"), record)
+    assert io.read_run_metadata(spark, os.path.join(base, "record")) == record
+
+
+def test_samples_carry_static_columns_and_all_targets(spark):
+    from herdflow.operators.learn import sequence_samples
+
+    rows = [(e, t, e * 100.0 + t, -float(t), "s" + str(e)) for e, n in ((1, 6), (2, 2), (3, 3)) for t in range(n)]
+    seq = spark.createDataFrame(rows, "e int, t int, a double, b double, s string").repartition(4)
+    got = sequence_samples(seq, entity=["e"], time_idx="t", static=["s"], reals=["b"], targets=["a", "b"], max_encoder=3)
+    found = {(r.e, r.target_idx): ([tuple(x) for x in r.encoder], r.a, r.b, r.s, r.encoder_length) for r in got.collect()}
+    want = {}
+    for e, n in ((1, 6), (2, 2), (3, 3)):
+        for t in range(2, n):
+            steps = [(u, -float(u), e * 100.0 + u) for u in range(max(0, t - 3), t)]
+            want[e, t] = (steps, e * 100.0 + t, -float(t), f"s{e}", len(steps))
+    assert found == want
