@@ -20,17 +20,13 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_
 FROM c JOIN picks USING (rid)
 """
 
-# Targets from the sources' rows, one period scheduled slot by slot, and every
-# block's window and slot from its place in that period.
+# Natural shares: blocks of 8 rows per source, every block released at slot
+# floor(i*T/b) and due by ceil((i+1)*T/b), earliest deadline first over all slots.
 MIXING_SQL = """
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS src,
         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest FROM documents),
-n AS (SELECT src, count(*) AS n FROM d GROUP BY src),
-want AS (SELECT src, n, least(CAST(n AS DOUBLE), 2.0::DOUBLE * (SELECT avg(n) FROM n)) AS want FROM n),
-w AS (SELECT src, n, want / (SELECT sum(want) FROM want) AS w FROM want),
-plan AS (SELECT src, n, w, row_number() OVER (ORDER BY src) AS s,
-           least(n, CAST(floor(w * (SELECT floor(min(n / w) + 0.000001::DOUBLE) FROM w) + 0.000001::DOUBLE) AS BIGINT)) AS take,
-           greatest(1, CAST(round(w * 1024) AS BIGINT)) AS k FROM w),
+plan AS (SELECT src, n, n / sum(n) OVER () AS w, row_number() OVER (ORDER BY src) AS s, (n + 7) // 8 AS k
+         FROM (SELECT src, count(*) AS n FROM d GROUP BY src)),
 one AS (SELECT list(k ORDER BY s) AS ks, CAST(sum(k) AS BIGINT) AS slots FROM plan),
 sim AS (
   SELECT CAST(-1 AS BIGINT) AS t, list_transform(ks, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick FROM one
@@ -41,15 +37,11 @@ sim AS (
                THEN (((sim.done[i] + 1) * one.slots + x - 1) // x) * 1000000 + i END)) % 1000000 AS pick
         FROM sim, one WHERE sim.t + 1 < one.slots)),
 times AS (SELECT t, pick AS s, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM sim WHERE t >= 0),
-ranked AS (SELECT d.*, plan.*, row_number() OVER (PARTITION BY d.src ORDER BY digest, doc_id) - 1 AS rank
-           FROM d JOIN plan ON d.src = plan.src),
-blocks AS (SELECT doc_id, source, s, w, k, rank < take AS in_mix, CASE WHEN rank < take THEN rank // 8 END AS block,
-             CASE WHEN rank < take THEN rank % 8 END AS place FROM ranked)
-SELECT doc_id, source, in_mix, w AS target_weight, block,
-  (block // k) * slots + ((block % k) * slots) // k AS release,
-  (block // k) * slots + ((block % k + 1) * slots + k - 1) // k AS deadline,
-  (block // k) * slots + times.t AS slot, place
-FROM blocks CROSS JOIN one LEFT JOIN times ON times.s = blocks.s AND times.j = block % k
+ranked AS (SELECT d.doc_id, d.source, plan.*, row_number() OVER (PARTITION BY d.src ORDER BY digest, doc_id) - 1 AS rank
+           FROM d JOIN plan ON d.src = plan.src)
+SELECT doc_id, source, true AS in_mix, w AS target_weight, rank // 8 AS block, ((rank // 8) * slots) // k AS release,
+  ((rank // 8 + 1) * slots + k - 1) // k AS deadline, times.t AS slot, rank % 8 AS place
+FROM ranked CROSS JOIN one JOIN times ON times.s = ranked.s AND times.j = rank // 8
 """
 
 # BM25-like sums in whole numbers over all documents that share a term.
