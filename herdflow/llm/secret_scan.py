@@ -11,7 +11,7 @@ The models come from labelled samples taken from the documents of at most
 ``SAMPLE_ROWS`` keys (lowest hash), the bound of the sample: ordinary ones are
 the documents' shorter words (``SHORT_WORD`` to ``MIN_RUN - 1`` key
 characters), neighbouring ones joined by ``/``, ``_`` or ``-`` as in paths and long
-identifiers, and plain numbers, random ones are digests of their keys written in base 64 and in
+identifiers or by capitals as in code, plain numbers, and repeated signs as in ruled lines, random ones are digests of their keys written in base 64 and in
 lower- and upper-case hexadecimal. Only pair counts leave the cluster (at most
 ``len(ALPHABET) ** 2`` per model).
 
@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from herdflow.llm.common import text_or_empty
+from herdflow.operators.rows import once
 
 # Fixed patterns of the contract.
 ASSIGN = (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?"""
@@ -49,9 +50,38 @@ SAMPLE_ROWS = 5_000
 SMOOTHING = 0.5
 BACK_OFF = 8.0
 JOINTS = "/_-"
+RULES = "=-_/+"
 THRESHOLD = 0.8
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
+_PARTS = "array<struct<start:int,kind:int,end:int,text:string>>"
+
+
+def _span(start: Column, kind: Column, end: Column, *text: Column) -> Column:
+    """(start, kind, end), and the text where it is carried along."""
+    return F.struct(start.alias("start"), kind.alias("kind"), end.alias("end"), *[t.alias("text") for t in text])
+
+
+# Elements that a fold appends to one array; an append copies the array.
+FOLD_BLOCK = 1024
+
+
+def _fold(items: Column, state: dict[str, Column], kind: str, step) -> Column:
+    """A left fold whose state holds ``state`` and ``found``, an array of type
+    ``kind`` that ``step(state, item)`` appends to. Items are folded in blocks, so
+    that an append never copies more than a block's finds."""
+    names = list(state)
+    whole = lambda s, found: F.struct(*[s[n].alias(n) for n in names], found.alias("found"))
+    none = F.array().cast(kind)
+
+    def folded(held):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(held) / FOLD_BLOCK).cast("int")),
+                             lambda b: F.slice(held, b * FOLD_BLOCK + 1, FOLD_BLOCK))
+        return F.aggregate(blocks, whole(state, none), lambda s, block: F.aggregate(
+            block, whole(s, none), step, lambda e: whole(e, F.concat(s["found"], e["found"]))))
+
+    # The array is bound to a name, else every block would work it out again.
+    return F.transform(F.array(items), folded)[0]
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
@@ -63,35 +93,27 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0
         F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length).alias("own"),
         F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length).alias("value"))
     parts = parts.cast("array<struct<gap:int,own:int,value:int>>")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
 
     def step(s, x):
         begin = s["at"] + x["gap"]
         end = begin + x["own"]
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+        span = _span(begin, F.lit(kind), end)
         return F.struct(end.alias("at"), F.when(x["value"] >= least, F.array_append(s["found"], span))
                         .otherwise(s["found"]).alias("found"))
 
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(parts, start, step, lambda s: s["found"])).otherwise(
+    return F.when(F.regexp_like(text, F.lit(pattern)), _fold(parts, {"at": F.lit(0)}, _SPANS, step)["found"]).otherwise(
         F.array().cast(_SPANS))
 
 
-def _pair(a: Column, b: Column) -> Column:
-    """Index of a character pair in a model table."""
-    place = lambda c: F.instr(F.lit(ALPHABET), c) - 1
-    return place(a) * len(ALPHABET) + place(b)
-
-
-def _pairs(run: Column) -> Column:
-    """Pair indices of a run of key characters."""
-    return F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: _pair(
-        F.substring(run, i, F.lit(1)), F.substring(run, i + 1, F.lit(1))))
-
-
 def _pair_counts(strings: DataFrame) -> list[int]:
-    counts = [0] * len(ALPHABET) ** 2
-    for pair, n in strings.select(F.explode(_pairs(F.col("s"))).alias("p")).groupBy("p").count().collect():
-        counts[pair] = n
+    """Counts of every character pair of strings of key characters: two-character
+    strings are counted, and only the counted ones get their place in the table."""
+    chars = F.split("s", "")
+    pairs = F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars)), lambda a, b: F.concat(a, b))
+    counted = strings.select(F.explode(pairs).alias("p")).groupBy("p").count()
+    counts, k = [0] * len(ALPHABET) ** 2, len(ALPHABET)
+    for pair, n in counted.filter(F.length("p") == 2).collect():
+        counts[ALPHABET.index(pair[0]) * k + ALPHABET.index(pair[1])] = n
     return counts
 
 
@@ -118,30 +140,53 @@ def markov_ratios(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.regexp_replace(F.base64(F.unhex(keys)), "[^A-Za-z0-9+/=]", ""), F.lower(keys), F.upper(keys))).alias("s"))
     texts = docs.select(F.col(f"`{id_col}`").alias("__doc"), text_or_empty(text_col).alias("__t")).join(
         F.broadcast(ids), F.col("__doc") == F.col("__id"), "left_semi")  # at most ``rows`` keys
+    texts = texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     runs = F.regexp_extract_all("__t", F.lit("[A-Za-z0-9+/_=-]+"), F.lit(0))
     short = texts.select(F.filter(runs, lambda s: F.length(s).between(SHORT_WORD, MIN_RUN - 1)).alias("w"))
-    joint = lambda i: F.substring(F.lit(JOINTS), i % len(JOINTS) + 1, F.lit(1))
-    joined = F.transform("w", lambda s, i: F.concat(s, joint(i), F.get("w", i + 1)))  # the last one's is null
+    # In turn with a joint, in camel case, and with a capital first; the last one's is null.
+    ways = len(JOINTS) + 2
+    joint = lambda i: F.substring(F.lit(JOINTS), i % ways + 1, F.lit(1))
+    large = lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s)))
+    joined = F.transform("w", lambda s, i: F.when(i % ways < len(JOINTS), F.concat(s, joint(i), F.get("w", i + 1))).otherwise(
+        F.concat(F.when(i % ways == len(JOINTS), s).otherwise(large(s)), large(F.get("w", i + 1)))))
     words = short.select(F.explode(F.concat("w", F.filter(joined, lambda s: s.isNotNull()))).alias("s"))
     numbers = ids.select(F.regexp_replace(F.xxhash64("__id").cast("string"), "-", "").alias("s"))
-    ordinary = words.unionByName(numbers)
+    rules = ids.select(F.repeat(F.substring(F.lit(RULES), F.pmod(F.xxhash64("__id"), F.lit(len(RULES))).cast("int") + 1,
+                                            F.lit(1)), F.lit(SHORT_WORD)).alias("s"))
+    ordinary = words.unionByName(numbers).unionByName(rules)
     random_p, ordinary_p = _conditional(_pair_counts(digests)), _conditional(_pair_counts(ordinary))
     return [math.log(r / o) for r, o in zip(random_p, ordinary_p, strict=True)]
 
 
-def _beside(runs: str, base: str) -> Column:
+def _beside(runs: Column, base: Column) -> Column:
     """The parts of the runs that no base span covers, ``MIN_RUN`` characters
-    long at least."""
-    part = lambda start, end: F.struct(start.alias("start"), F.lit(3).alias("kind"), end.alias("end"))
-
-    def parts(run):
-        begin = F.struct(run["start"].alias("at"), F.array().cast(_SPANS).alias("found"))
-        over = F.filter(F.sort_array(base), lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-        return F.aggregate(over, begin, lambda s, b: F.struct(
-            F.greatest(s["at"], b["end"]).alias("at"), F.array_append(s["found"], part(s["at"], b["start"])).alias("found")),
-            lambda s: F.array_append(s["found"], part(s["at"], run["end"])))
-
-    return F.filter(F.flatten(F.transform(runs, parts)), lambda p: p["end"] - p["start"] >= MIN_RUN)
+    long at least, with their text: one pass over runs (which carry theirs) and
+    base spans in the order of their starts. ``at`` and ``end`` bound what is left
+    of the run at hand, ``over`` is how far base spans have come."""
+    def step(s, x):
+        run, cut = x["kind"] == 3, F.least(x["start"], s["end"])
+        part = _span(s["at"], F.lit(3), cut, F.substring(s["text"], s["at"] - s["begin"] + 1, cut - s["at"]))
+        found = F.when(cut - s["at"] >= MIN_RUN, F.array_append(s["found"], part)).otherwise(s["found"])
+        now = {"at": F.when(run, F.greatest(x["start"], s["over"])).otherwise(F.greatest(s["at"], x["end"])),
+               "over": F.when(run, s["over"]).otherwise(F.greatest(s["over"], x["end"]))}
+        now |= {name: F.when(run, x[of]).otherwise(s[name]) for name, of in (("begin", "start"), ("end", "end"), ("text", "text"))}
+        return F.struct(*[now[n].alias(n) for n in nothing], found.alias("found"))
+
+    plain = F.transform(base, lambda x: _span(x["start"], x["kind"], x["end"], F.lit(None).cast("string")))
+    far = F.lit(2 ** 31 - 1)  # a last span beyond any text closes the last run
+    last = F.array(_span(far, F.lit(0), far, F.lit(None).cast("string")))
+    nothing = {"at": F.lit(0), "over": F.lit(0), "begin": F.lit(0), "end": F.lit(0), "text": F.lit("")}
+    events = F.concat(F.sort_array(F.concat(runs.cast(_PARTS), plain.cast(_PARTS))), last.cast(_PARTS))
+    return _fold(events, nothing, _PARTS, step)["found"]
+
+
+def _mean_ratio(run: Column, table: Column) -> Column:
+    """Mean of the table's values over the character pairs of a run of key characters."""
+    place = lambda c: F.instr(F.lit(ALPHABET), c) - 1
+    start = F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("sum"))
+    step = lambda s, c: F.struct(place(c).alias("before"), (s["sum"] + F.when(s["before"] >= 0, F.get(
+        table, s["before"] * len(ALPHABET) + place(c))).otherwise(F.lit(0.0))).alias("sum"))
+    return F.aggregate(F.split(run, ""), start, step, lambda s: s["sum"]) / (F.length(run) - 1)
 
 
 def scan(docs: DataFrame, ratios: list[float], *, text_col: str = "text", out: str = "secret_spans",
@@ -151,14 +196,16 @@ def scan(docs: DataFrame, ratios: list[float], *, text_col: str = "text", out: s
     own = [F.col(f"`{c}`") for c in docs.columns]
     text = text_or_empty(text_col)
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    found = docs.select(*own, text.alias("__text"), F.concat(
-        _spans(text, ASSIGN, 0, 2, ASSIGN_VALUE), _spans(text, ACCESS, 1), _spans(text, HEX, 2)).alias("__base"),
-        _spans(text, f"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}", 3).alias("__runs"))
-    free = found.select(*own, "__text", "__base", _beside("__runs", "__base").alias("__runs"))
-    mean = lambda run: F.aggregate(_pairs(run), F.lit(0.0), lambda s, p: s + F.get(table, p)) / (F.length(run) - 1)
-    added = free.select(*own, "__base", F.filter("__runs", lambda r: mean(
-        F.substring("__text", r["start"] + 1, r["end"] - r["start"])) >= F.lit(threshold)).alias("__added"))
-    return added.select(*own, F.sort_array(F.concat("__base", "__added")).alias(out))
+    runs = f"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
+    # Columns that later ones use several times are generated, not inlined.
+    found = docs.select(*own, text.alias("__text"))
+    found = once(found, F.concat(_spans(text, ASSIGN, 0, 2, ASSIGN_VALUE), _spans(text, ACCESS, 1), _spans(text, HEX, 2)), "__base")
+    said = F.arrays_zip(_spans(text, runs, 3).alias("r"), F.regexp_extract_all(text, F.lit(runs), F.lit(0)).alias("t"))
+    found = once(found, F.transform(said, lambda x: _span(x["r"]["start"], F.lit(3), x["r"]["end"], x["t"])), "__runs")
+    found = once(found, _beside(F.col("__runs"), F.col("__base")), "__free")
+    kept = found.select(*own, "__base", F.transform(F.filter("__free", lambda p: _mean_ratio(p["text"], table) >= F.lit(threshold)),
+                                                    lambda p: _span(p["start"], p["kind"], p["end"])).alias("__added"))
+    return kept.select(*own, F.sort_array(F.concat("__base", "__added")).alias(out))
 
 
 def secret_table(docs: DataFrame) -> DataFrame:

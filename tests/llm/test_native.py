@@ -308,3 +308,93 @@ def test_secrets_of_clashing_and_empty_tables(spark, docs):
     assert len(ratios) == len(secret_scan.ALPHABET) ** 2
     assert secret_scan.scan(common.clashing(docs).drop("__w", "__key"), ratios).count() == docs.count()
     assert secret_scan.secret_table(common.empty(spark)).count() == 0
+
+
+def markov_spans(text, ratios):
+    """Plain version of the added spans: what base spans leave of each run."""
+    base = [(m.start(), m.end()) for m in re.compile(secret_scan.ASSIGN, re.ASCII).finditer(text)
+            if len(m.group(2)) >= secret_scan.ASSIGN_VALUE]
+    base += [(m.start(), m.end()) for p in (secret_scan.ACCESS, secret_scan.HEX) for m in re.finditer(p, text)]
+    k, out = len(secret_scan.ALPHABET), []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+        at = m.start()
+        for a, b in [*sorted((a, b) for a, b in base if a < m.end() and m.start() < b), (m.end(), m.end())]:
+            if a - at >= secret_scan.MIN_RUN:
+                part = text[at:a]
+                total = 0.0
+                for x, y in zip(part, part[1:]):
+                    total += ratios[secret_scan.ALPHABET.index(x) * k + secret_scan.ALPHABET.index(y)]
+                if total / (len(part) - 1) >= secret_scan.THRESHOLD:
+                    out.append((at, a))
+            at = max(at, b)
+    return out
+
+
+def random_string(rng, n):
+    return "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
+
+
+def test_markov_spans_equal_a_plain_version(spark, docs, monkeypatch):
+    ratios = secret_scan.markov_ratios(docs)
+    rng = random.Random(9)
+    words = ["station", "transport", "order", "the", "getUserName", "AbstractProxy", "=" * 20, "é", "deadbeef" * 4]
+    texts = []
+    for _ in range(60):
+        bits = [rng.choice([rng.choice(words), random_string(rng, rng.randint(5, 40)), "token=" + random_string(rng, 8),
+                            "AKIA" + "Q" * 16, "0123456789abcdef" * 2]) for _ in range(30)]
+        texts.append("".join(b + rng.choice(["", " ", "/", "_", "\n", "."]) for b in bits))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [markov_spans(t, ratios) for t in texts]
+    assert sum(map(len, want)) > 100
+    for block in (secret_scan.FOLD_BLOCK, 4, 1):
+        monkeypatch.setattr(secret_scan, "FOLD_BLOCK", block)
+        got = secret_scan.scan(table, ratios).orderBy("doc_id").collect()
+        assert [[(s.start, s.end) for s in r.secret_spans if s.kind == 3] for r in got] == want
+
+
+def test_many_matches_in_a_long_text(spark, docs):
+    import time
+
+    rng = random.Random(4)
+    ratios = secret_scan.markov_ratios(docs)
+    text = " ".join(f"token={random_string(rng, 6)} {random_string(rng, 20)}" for _ in range(30_000))
+    table = spark.createDataFrame([(1, text), (2, random_string(rng, 1_000_000)), (3, "plain words " * 100_000)],
+                                  "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.n for r in secret_scan.scan(table, ratios).selectExpr("doc_id", "size(secret_spans) AS n").collect()}
+    assert got[1] == 60_000 and got[2] == 1 and got[3] == 0
+    assert time.time() - began < 60
+
+
+def test_names_in_code_are_ordinary(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices(["ba", "do", "ke", "mi", "ru", "sta", "ten", "lor"], k=rng.randint(2, 4))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(vocabulary, k=120))) for i in range(150)], "doc_id long, text string")
+    ratios = secret_scan.markov_ratios(docs)
+    camel = [w[0] + "".join(x.capitalize() for x in w[1:]) for w in (rng.choices(vocabulary, k=4) for _ in range(300))]
+    pascal = ["".join(x.capitalize() for x in rng.choices(vocabulary, k=4)) for _ in range(300)]
+    rules = ["=" * 30, "-" * 30, "_" * 16]
+    secrets = [random_string(rng, n) for n in (16, 24, 32) for _ in range(100)]
+    marked = lambda strings: sum(len(r.secret_spans) > 0 for r in secret_scan.scan(spark.createDataFrame(
+        list(enumerate(s for s in strings if len(s) >= 16)), "doc_id long, text string"), ratios).collect())
+    assert marked(camel) <= 3 and marked(pascal) <= 3 and marked(rules) == 0
+    assert marked(secrets) >= 0.98 * len(secrets)
+
+
+@pytest.mark.parametrize("hot", [0, 400, 900])
+def test_mixing_equals_its_sql(spark, hot):
+    import duckdb
+
+    rng = random.Random(hot)
+    rows = [(i, "x", "en", "hot" if i < hot else rng.choice([None, "a", "b", "c", "d"] + ["e"] * 4), 1) for i in range(1000)]
+    docs = spark.createDataFrame(rows + [(3, "x", "en", "hot", 1), (None, None, None, "rare", None)], common.SCHEMA)
+    got = mixing.mix_schedule(docs, hot_factor=None).toPandas()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64", "n_chars": "Int64"}))
+    from herdflow.llm.oracles import MIXING_SQL
+
+    want = con.execute(MIXING_SQL).df()
+    columns = ["in_mix", "target_weight", "block", "release", "deadline", "slot", "place"]
+    as_rows = lambda df: sorted((str(a), str(b), *c) for a, b, c in zip(
+        df["doc_id"].astype("Int64"), df["source"].fillna("-"), df[columns].itertuples(index=False, name=None)))
+    assert len(got) == 1002 and as_rows(got) == as_rows(want)
