@@ -101,8 +101,3 @@ def null_to_zero(c) -> Column:
 def text_or_empty(c) -> Column:
     """NULL -> '', stripped text."""
     return F.coalesce(ws_trim(c), F.lit(""))
-
-
-def is_missing(c, tokens: Iterable[str] = MISSING_TOKENS) -> Column:
-    """Token-aware missing test (NULL counts as missing)."""
-    return null_tokens(c, tokens).isNull()

@@ -56,12 +56,3 @@ def grade_agreement(df: DataFrame, *, predicted: str, actual: str, quality: str,
         rate(F.col(predicted) == F.col(actual)).alias("match_rate"),
         rate(F.col(quality) == aq).alias("quality_match_rate"),
         rate(F.col(yield_code) == ay).alias("yield_match_rate"))
-
-
-def per_sex_summary(df: DataFrame, *, sex: str, index: str, grade: str) -> DataFrame:
-    """Mean yield index and A/B/C counts per sex."""
-    return df.groupBy(sex).agg(
-        F.avg(index).alias("mean_index"),
-        F.count_if(F.col(grade) == 0).alias("n_a"),
-        F.count_if(F.col(grade) == 1).alias("n_b"),
-        F.count_if(F.col(grade) == 2).alias("n_c"))

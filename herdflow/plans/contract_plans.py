@@ -6,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from herdflow.operators.quality import domain_violations, null_sample_agreement, range_violations
-from herdflow.plans.farm_plans import CLASSIFY_REASONS_SQL, RECORD_RATIO_STATUS_SQL, q_classify_reasons, \
-    q_record_ratio_status
+from herdflow.operators.farm import reason_counts
+from herdflow.plans.common import round_doubles
+from herdflow.plans.farm_plans import CLASSIFY_REASONS_SQL, RECORD_RATIO_STATUS_SQL, classified, q_record_ratio_status
 from herdflow.plans.lineage_plans import FARM_YEAR_MEAN_SQL, q_farm_year_mean
 from herdflow.plans.registry import register
-from herdflow.operators.joins import with_scalars
+from herdflow.operators.joins import materialize, with_scalars
 
 STATUS_COLUMNS = ["FARM_BIOSECURITY_STATUS", "FARM_HEALTH_STATUS", "FARM_ACCIDENT_STATUS"]
 STATUS_DOMAIN = ["YES", "NO", "MISSING"]
@@ -45,14 +46,15 @@ SELECT
 @register("contract_checks", CONTRACT_CHECKS_SQL)
 def q_contract_checks(spark, sf_dir):
     ends = lambda digit: F.col("farm").endswith(digit)
-    rrs = q_record_ratio_status(spark, sf_dir)
+    records = materialize(classified(spark, sf_dir), "classified")      # both tables count these classes
+    rrs = q_record_ratio_status(spark, sf_dir, records)
     rrs = rrs.withColumns({
         "FARM_BIOSECURITY_STATUS": F.when(ends("3"), F.lit("UNSURE")).otherwise(F.col("FARM_BIOSECURITY_STATUS")),
         "FARM_HEALTH_STATUS": F.when(ends("7"), F.lower("FARM_HEALTH_STATUS")).otherwise(F.col("FARM_HEALTH_STATUS")),
         "FARM_ACCIDENT_STATUS": F.when(ends("1"), F.lit("")).when(ends("2"), F.lit(None))
                                  .otherwise(F.col("FARM_ACCIDENT_STATUS"))})
     dom = domain_violations(rrs, {c: STATUS_DOMAIN for c in STATUS_COLUMNS})          # J4
-    cr = q_classify_reasons(spark, sf_dir)
+    cr = round_doubles(reason_counts(records, farm="source", category="__cat"))
     cr = cr.withColumns({
         "record_ratio": F.when(ends("4"), F.col("record_ratio") + 1).otherwise(F.col("record_ratio")),
         "total": F.when(ends("5"), -F.col("total")).otherwise(F.col("total"))})

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from herdflow.operators.series import (autocorr_lags, forecast_scores, hourly_series, instance_denorm,
-                                       instance_norm, patches, sliding_windows, split_borders,
+                                       instance_norm, inverse_standardise, patches, sliding_windows, split_borders,
                                        split_by_position, stamp_features, standardise, window_prompt,
                                        window_stats)
 from herdflow.plans.common import round_doubles
@@ -77,7 +77,7 @@ FROM sp
 @register("standardise", STANDARDISE_SQL)
 def q_standardise(spark, sf_dir):
     sc = _scaled(spark, sf_dir)
-    sc = sc.withColumn("restored", F.col("scaled") * F.col("fit_std") + F.col("fit_mean"))
+    sc = inverse_standardise(sc, "scaled", "restored")
     return round_doubles(sc.select("channel", "split", F.col("pos").cast("int").alias("pos"),
                                    F.date_format("t", "yyyy-MM-dd HH:mm").alias("t"), "value",
                                    "fit_mean", "fit_std", "scaled", "restored"))

@@ -42,16 +42,6 @@ def scan_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return df
 
 
-def scan_many(spark: SparkSession, pattern: str, schema: StructType | str, fmt: str = "csv") -> DataFrame:
-    """The same scan over every file matching a glob, tagged with the
-    source file name (``_metadata.file_name``)."""
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    df = reader.format(fmt).load(pattern)
-    return df.select("*", F.col("_metadata.file_name").alias("source_file"))
-
-
 def scan_files(spark: SparkSession, pattern: str, schema: StructType | str, fmt: str = "csv",
                name: Column | None = None) -> DataFrame:
     """A9 + F14: rows of every file matching a glob with ``source_file`` (its
@@ -111,12 +101,6 @@ def flatten_structs(df: DataFrame, sep: str = ".") -> DataFrame:
     return df.select(*[F.col("`" + n.replace(sep, "`.`") + "`" if sep == "." else n).alias(n) for n in names])
 
 
-def scan_observation_text(spark: SparkSession, path: str) -> DataFrame:
-    """Raw observation text files, one line per row (parsed by
-    ``operators.weather.parse_observation_lines``)."""
-    return spark.read.text(path)
-
-
 def sink_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
     """A10: zstd Parquet."""
     w = df.write.mode(mode).option("compression", "zstd")
