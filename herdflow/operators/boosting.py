@@ -59,16 +59,15 @@ def feature_columns(df: DataFrame, exclude: Sequence[str]) -> list[str]:
 
 def task_folds(df: DataFrame, tasks: Sequence[Task], *, group: str, n_folds: int, seed: int | None) -> DataFrame:
     """(group, fold_<task>...): every task's folds over the groups of its valid rows (K1, K2)."""
-    maps = []
+    strata = {}
     for task in tasks:
-        valid = df.filter(F.col(task.label).isNotNull()).select(group, F.col(task.label).alias("label"))
+        strata[task.name] = F.col(task.label).cast("double")
         if task.kind == "regression":
-            valid = quantile_bins(valid, "label", "label", q=10)
-        folds = fold_of_groups(valid, group=group, label="label", n_folds=n_folds, seed=seed)
-        maps.append(folds.withColumn("task", F.lit(task.name)))
-    every = maps[0]
-    for m in maps[1:]:
-        every = every.unionByName(m)
+            binned = quantile_bins(df, task.label, f"__{task.name}", q=10)
+            df, strata[task.name] = binned, F.col(f"__{task.name}").cast("double")
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("task"), s.alias("stratum")) for name, s in strata.items()]))
+    rows = df.select(group, each.alias("__t")).select(group, "__t.task", "__t.stratum").filter("stratum IS NOT NULL")
+    every = fold_of_groups(rows, group=group, label="stratum", n_folds=n_folds, seed=seed, by=["task"])
     return every.groupBy(group).agg(*[F.max(F.when(F.col("task") == t.name, F.col("fold"))).alias(f"fold_{t.name}")
                                       for t in tasks])
 
