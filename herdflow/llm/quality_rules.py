@@ -1,18 +1,21 @@
 """Quality rules: counted features plus a hashed n-gram log-likelihood ratio.
 
-Every document's hashed n-grams (the closing character trigram of each word,
-which is the whole word if that is shorter) are scored by ``ln(p_target /
-p_raw)`` of their hash bucket and averaged. ``p_raw`` is the multinomial of all documents,
-``p_target`` that of trusted ones: rows labelled good and not toxic, of which
-at most ``TRUSTED_ROWS`` (lowest hash of the key) are used, so that their keys
-may be broadcast. The target is smoothed towards the raw multinomial, so a
-small trusted sample moves no ratio far. A document is kept if it passes the counted rules and its
-mean ratio is at least ``threshold``. Counts are whole numbers and sums run in
-word order, so verdicts do not depend on partitions.
-
-All column expressions; the only shuffle is that of bucket counts (partially
-aggregated, ``BUCKETS`` rows). The ``BUCKETS`` ratios are read once and enter
-the plan as a constant array.
+A document's n-grams are all character trigrams of all its words (the whole
+word if it is shorter). Each is hashed to one of ``BUCKETS`` buckets, and the
+ratio of a document is the mean of ``ln(p_target / p_raw)`` over its n-grams'
+buckets. ``p_raw`` is the multinomial of all documents, ``p_target`` that of
+trusted ones: rows labelled good and not toxic, of which at most
+``TRUSTED_ROWS`` (lowest hash of the key) are used, so that their keys may be
+broadcast. The target is smoothed towards the raw multinomial, so a small
+trusted sample moves no ratio far. A document is kept if it passes the counted
+rules and its mean ratio is at least ``threshold``. Counts are whole numbers and
+sums run in word order, so verdicts do not depend on partitions.
+
+All column expressions. Words are counted first (partially aggregated, so a
+frequent word is one row per task) and cut into n-grams once per distinct word;
+the ``BUCKETS`` ratios are read once and enter the plan as a constant array.
+Words over ``PIECE`` code points are cut into overlapping pieces, so that their
+trigrams take linear time.
 
 Defined results: a null text has no words, all counts 0, base_failed true; a
 null key is never trusted; a document with no n-gram has ratio 0; without any
@@ -34,15 +37,30 @@ BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 1.0
 PRIOR = 4096.0  # n-grams of the raw multinomial that the target is taken to hold besides its own
 TRUSTED_ROWS = 20_000
-THRESHOLD = -0.5
+THRESHOLD = -0.47
 MIN_WORDS = 50
 NGRAM = 3
+PIECE = 64  # code points; a trigram is found from the start of its piece
 SYMBOLS = "#*$%&|<>"
 
 
-def _bucket(word: Column) -> Column:
-    """Hash bucket of a word's closing n-gram, from 0 to BUCKETS - 1."""
-    return F.shiftrightunsigned(F.xxhash64(F.substring(word, -NGRAM, NGRAM)), 64 - BUCKET_BITS).cast("int")
+def _bucket(gram: Column) -> Column:
+    """Hash bucket of an n-gram, from 0 to BUCKETS - 1."""
+    return F.shiftrightunsigned(F.xxhash64(gram), 64 - BUCKET_BITS).cast("int")
+
+
+def _pieces(w: Column) -> Column:
+    """The words, those over ``PIECE`` code points as pieces that overlap by two
+    (what is left below a trigram is covered by the piece before)."""
+    cut = F.lit(f"(?s)(?=(.{{1,{PIECE + NGRAM - 1}}})).{{1,{PIECE}}}")
+    long = F.exists(w, lambda x: F.length(x) > PIECE)
+    return F.when(long, F.flatten(F.transform(w, lambda x: F.when(F.length(x) <= PIECE, F.array(x)).otherwise(
+        F.filter(F.regexp_extract_all(x, cut, F.lit(1)), lambda y: F.length(y) >= NGRAM))))).otherwise(w)
+
+
+def _starts(piece: Column) -> Column:
+    """Where the n-grams of a piece start, from 1."""
+    return F.sequence(F.lit(1), F.greatest(F.length(piece) - (NGRAM - 1), F.lit(1)))
 
 
 def trusted_keys(labels: DataFrame, rows: int = TRUSTED_ROWS, id_col: str = "doc_id") -> DataFrame:
@@ -61,11 +79,14 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id",
     w = words(text_or_empty(text_col))
     flagged = docs.select(F.col(f"`{id_col}`").alias("__id"), w.alias("__w")).join(
         F.broadcast(trusted), F.col("__id") == F.col("__trusted"), "left")
-    each = flagged.select(F.col("__trusted").isNotNull().cast("int").alias("t"), F.explode("__w").alias("w"))
-    counts = each.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).alias("raw"),
-                                                              F.sum("t").alias("target")).collect()
+    cut = flagged.select(F.col("__trusted").isNotNull().cast("int").alias("t"),
+                         _pieces(F.col("__w")).alias("__pieces"))
+    each = cut.select("t", F.explode("__pieces").alias("w")).groupBy("w").agg(
+        F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
+    grams = each.select("raw", "target", F.explode(F.transform(
+        _starts(F.col("w")), lambda i: _bucket(F.substring(F.col("w"), i, NGRAM)))).alias("b"))
     raw, target = [0] * BUCKETS, [0] * BUCKETS
-    for b, n, t in counts:
+    for b, n, t in grams.groupBy("b").agg(F.sum("raw"), F.sum("target")).collect():
         raw[b], target[b] = n, t
     all_raw, all_target = sum(raw), sum(target)
     if not all_target:
@@ -110,8 +131,13 @@ def rule_columns(docs: DataFrame, ratios: list[float], *, text_col: str = "text"
         "__at", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("end")),
         lambda s, i: F.struct((s["n"] + i + 3 - F.greatest(i, s["end"])).alias("n"), (i + 3).alias("end")),
         lambda s: s["n"])).otherwise(F.lit(0).cast("long"))
-    ratio = F.when(F.size("__w") > 0, F.aggregate(
-        "__w", F.lit(0.0), lambda s, w: s + F.get(table, _bucket(w))) / F.size("__w")).otherwise(F.lit(0.0))
+    w, pieces = F.col("__w"), F.col("__pieces")
+    total = F.aggregate(pieces, F.lit(0.0), lambda s, x: s + F.aggregate(
+        _starts(x), F.lit(0.0), lambda p, i: p + F.get(table, _bucket(F.substring(x, i, NGRAM)))))
+    grams = F.aggregate(pieces, F.lit(0).cast("long"), lambda n, x: n + F.greatest(
+        F.length(x) - (NGRAM - 1), F.lit(1)))
+    ratio = F.when(F.size(w) > 0, total / grams).otherwise(F.lit(0.0))
+    d = d.select("*", _pieces(w).alias("__pieces"))
     e = d.select(*own, F.size("__w").cast("long").alias("n_words"),
                  F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
                  F.col("__symbols").alias("n_symbols"), F.col("__dup").alias("n_dup_lines"),

@@ -217,27 +217,67 @@ def test_quality_counts_and_ratio(spark, docs):
     assert len(got) == table.count()
     assert not any(r.kept for r in got if r.doc_id is not None and r.doc_id >= 1000)
     assert not [r for r in got if r.doc_id is not None and r.doc_id < 1000 and not r.kept and not r.base_failed]
-    # The ratio of one document from the bucket counts, in plain Python.
+    # The ratios of all documents from the bucket counts, in plain Python.
+    tables = ratios_by_hand([(r.doc_id, r.text) for r in table.collect()], set(range(0, 100, 2)))
+    by_id = defaultdict(set)
+    for r in table.collect():
+        by_id[r.doc_id].add(round(ratio_by_hand(r.text, tables), 10))
+    assert all(round(r.ratio, 10) in by_id[r.doc_id] for r in got)
+
+
+def grams_by_hand(text):
+    """Buckets of the trigrams of a text."""
     import xxhash
 
-    def buckets(text):
-        for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
-            yield xxhash.xxh64_intdigest(w[-3:].encode(), 42) >> (64 - quality_rules.BUCKET_BITS)
+    shift = 64 - quality_rules.BUCKET_BITS
+    return [xxhash.xxh64_intdigest(w[i:i + 3].encode(), 42) >> shift
+            for w in re.findall(r"[^\x20\x09-\x0D]+", text or "") for i in range(max(1, len(w) - 2))]
 
+
+def ratios_by_hand(rows, trusted):
     raw, good = Counter(), Counter()
-    trusted = set(range(0, 100, 2))
-    for r in table.collect():
-        raw.update(buckets(r.text))
-        if r.doc_id in trusted:
-            good.update(buckets(r.text))
-    b = quality_rules.BUCKETS
-    p_raw = lambda x: (raw[x] + 1) / (sum(raw.values()) + b)
-    p_good = lambda x: (good[x] + quality_rules.PRIOR * p_raw(x)) / (sum(good.values()) + quality_rules.PRIOR)
-    ratio = lambda x: math.log(p_good(x) / p_raw(x))
-    some = next(r for r in got if r.doc_id == 0)
-    text = next(r.text for r in table.collect() if r.doc_id == 0)
-    each = [ratio(x) for x in buckets(text)]
-    assert some.ratio == pytest.approx(sum(each) / len(each), abs=1e-12)
+    for key, text in rows:
+        grams = grams_by_hand(text)
+        raw.update(grams)
+        if key in trusted:
+            good.update(grams)
+    return raw, good, sum(raw.values()), sum(good.values())
+
+
+def ratio_by_hand(text, tables):
+    raw, good, all_raw, all_good = tables
+    grams, total = grams_by_hand(text), 0.0
+    for x in grams:
+        p_raw = (raw[x] + 1) / (all_raw + quality_rules.BUCKETS)
+        p_good = (good[x] + quality_rules.PRIOR * p_raw) / (all_good + quality_rules.PRIOR)
+        total += math.log(p_good / p_raw)
+    return total / len(grams) if grams else 0.0
+
+
+def test_garbage_with_ordinary_endings_is_rejected(spark, docs):
+    """Words of noise that close as ordinary words do; and words of up to 1 MB."""
+    rng = random.Random(9)
+    junk = [(2000 + i, " ".join("".join(rng.choices("qxzjkvw", k=7)) + w[-3:]
+                                for w in common.prose(rng, 90).split()), "en", "a", 1) for i in range(12)]
+    long = [(3000 + i, "word " * 3 + "".join(rng.choices("abcdefghé𝄞", k=k)) + " end", "en", "a", 1)
+            for i, k in enumerate((62, 63, 64, 65, 66, 67, 127, 128, 129, 130, 131, 1_000_000))]
+    table = docs.unionByName(spark.createDataFrame(junk + long, common.SCHEMA)).cache()
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 100, 2)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_rules.quality_table(table, labels).collect()}
+    assert not any(got[k].kept for k, *_ in junk) and not any(got[k].base_failed for k, *_ in junk)
+    assert not [k for k, r in got.items() if k is not None and 0 <= k < 1000 and not r.kept and not r.base_failed]
+    tables = ratios_by_hand([(r.doc_id, r.text) for r in table.collect()], set(range(0, 100, 2)))
+    for k, text, *_ in long:
+        assert got[k].ratio == pytest.approx(ratio_by_hand(text, tables), abs=1e-9)
+
+
+def test_verdict_at_the_threshold(spark, docs):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 100, 2)], "doc_id long, quality int, toxic int")
+    rows = [r for r in quality_rules.quality_table(docs, labels).collect() if not r.base_failed]
+    edge = sorted(r.ratio for r in rows)[len(rows) // 2]
+    again = quality_rules.quality_table(docs, labels, threshold=edge).collect()
+    assert all(r.kept == (r.ratio >= edge) for r in again if not r.base_failed)
+    assert any(r.ratio == edge and r.kept for r in again)
 
 
 def test_quality_without_labels_and_clashes(spark, docs):
