@@ -6,7 +6,10 @@ most ``RADIUS`` bits differ; linked fingerprints form components.
 
 Distinct fingerprints are dealt to cells so that any two that link meet: of
 ``BLOCKS`` blocks of bits, at least ``BLOCKS - RADIUS`` are equal, so every
-choice of that many blocks, with their bits, is a cell key. A task sorts its
+choice of that many blocks, with their bits, is a cell key. Cells are counted;
+one of more than ``CELL_ROWS`` fingerprints is cut into parts by hash, and every
+pair of its parts becomes a cell of its own, so that no cell holds more than
+about two parts and a family of any size is dealt over tasks. A task sorts its
 rows by (cell, population count), cuts them into tiles of ``TILE`` rows and
 compares tiles by exclusive-or and bit counts; tile pairs that share no cell,
 or whose population counts differ by more than the radius, are skipped. Of the
@@ -34,13 +37,14 @@ from xxhash import xxh64_intdigest
 
 from herdflow.llm.common import free_name, key_text, text_or_empty
 from herdflow.llm.components import components
-from herdflow.operators.joins import materialize
+from herdflow.operators.joins import bounded_broadcast, materialize
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
 BLOCKS = 5
 TILE = 512
+CELL_ROWS = 16_384  # fingerprints compared with each other in one task; larger cells are cut
 VOTES = 1 << 16  # shingles whose bits are unpacked at a time
 
 
@@ -126,38 +130,51 @@ def _link_cells(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.R
     held: list[np.ndarray] = []
 
     def links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        fps = rows[2].view(np.uint64)
-        order = np.lexsort((np.bitwise_count(fps), rows[1], rows[0]))
+        fps = rows[1].view(np.uint64)
+        order = np.lexsort((np.bitwise_count(fps), rows[0]))
         rows, fps = rows[:, order], fps[order]
-        fresh = np.ones(rows.shape[1], bool)
-        fresh[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
-        for a, b in spanning_links(np.cumsum(fresh), fps, radius):
-            yield pa.record_batch([pa.array(rows[2, a]), pa.array(rows[2, b])], names=["u", "v"])
+        for a, b in spanning_links(rows[0], fps, radius):
+            yield pa.record_batch([pa.array(rows[1, a]), pa.array(rows[1, b])], names=["u", "v"])
 
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
         if not rows.shape[1]:
             continue
         held.append(rows)
-        last = rows[:2, -1:]
-        if (rows[:2, :1] == last).all():
+        last = rows[0, -1]
+        if rows[0, 0] == last:
             continue  # one cell goes on
         rows = np.concatenate(held, axis=1)
-        done = ~(rows[:2] == last).all(axis=0)
+        done = rows[0] != last
         yield from links(rows[:, done])
         held = [rows[:, ~done]]
     if held:
         yield from links(np.concatenate(held, axis=1))
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Spanning links (u, v) between the distinct values of column ``fp``."""
+def _dealt(fps: DataFrame, radius: int, cell_rows: int) -> DataFrame:
+    """(cell, fp): every two fingerprints that link share a cell of about
+    2 * ``cell_rows`` rows at most.
+
+    Cell names are hashes; should two cells share one, they are compared as one,
+    which costs time and links nothing, as every link is a checked distance."""
     masks = [m - (1 << 64) if m >> 63 else m for m in cell_keys(radius)]
-    keys = F.array(*[F.struct(F.lit(i).cast("long").alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits"))
-                     for i, m in enumerate(masks)])
-    cells = fps.select("fp").distinct().select("fp", F.explode(keys).alias("cell")).select(
-        "cell.choice", "cell.bits", "fp")
-    dealt = cells.repartition("choice", "bits").sortWithinPartitions("choice", "bits")
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
+    cells = fps.select("fp").distinct().select("fp", F.explode(keys).alias("cell"))
+    large = cells.groupBy(F.col("cell").alias("__large")).agg(F.count(F.lit(1)).alias("__n")).filter(
+        F.col("__n") > cell_rows)
+    parts = F.ceil(F.col("__n") / F.lit(cell_rows)).cast("int")
+    large, _ = bounded_broadcast(large.select("__large", parts.alias("__parts")))
+    mine = F.pmod(F.xxhash64("fp", F.lit("part")), F.col("__parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("__parts") - 1), lambda p: p != F.col("__mine"))
+    pairs = F.transform(others, lambda p: F.xxhash64("cell", F.least(p, "__mine"), F.greatest(p, "__mine")))
+    return cells.join(large, F.col("cell") == F.col("__large"), "left").withColumn("__mine", mine).select(
+        F.explode(F.when(F.col("__parts").isNull(), F.array("cell")).otherwise(pairs)).alias("cell"), "fp")
+
+
+def near_links(fps: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Spanning links (u, v) between the distinct values of column ``fp``."""
+    dealt = _dealt(fps, radius, cell_rows).repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(lambda batches: _link_cells(batches, radius), "u long, v long")
 
 
