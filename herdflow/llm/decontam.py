@@ -10,8 +10,11 @@ of the whole item to any substring there.
 Texts are normalised by lower-casing and by making every run of white space
 one space. Whole texts are searched. The items are the stated query set: they
 are read in blocks of about ``BLOCK_BYTES`` of text (by hash), each block is
-broadcast and one pass over the documents answers it, so any number of items
-is answered exactly; documents never move.
+broadcast. A task holds ``HELD_BYTES`` of documents at a time and goes through
+the blocks of a wave one after another, with one block's automaton in memory;
+after ``WAVE_BLOCKS`` blocks the rows so far are written to the shared folder.
+So any number of items is answered exactly by one worker and one automaton a
+task; documents never shuffle.
 
 Defined results: a null text is empty and matches nothing; items without any
 character match nothing; an item shorter than ``1 / ERROR_RATE`` characters
@@ -24,14 +27,19 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from herdflow.operators.joins import materialize
+
 ERROR_RATE = 0.08
 BLOCK_BYTES = 8 << 20
+WAVE_BLOCKS = 16
+HELD_BYTES = 32 << 20
 
 
 def normalised(text: str) -> str:
@@ -135,21 +143,53 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> I
         yield sorted(((r.id, r.text) for r in rows), key=lambda x: (x[0] is None, x))
 
 
-def _matchers(items: DataFrame, id_col: str, text_col: str, error_rate: float,
-              block_bytes: int) -> list[Callable[[], Matcher]]:
-    """One function per block that gives its matcher inside a task."""
-    def of(shared) -> Callable[[], Matcher]:
-        name = uuid.uuid4().hex
+def _shared(block: list[tuple[object, str]], error_rate: float, context) -> Callable[[], Matcher]:
+    """A function that gives the block's matcher inside a task."""
+    name, shared = uuid.uuid4().hex, context.broadcast(block)
+
+    def matcher() -> Matcher:
+        if name not in _MATCHERS:  # one per worker process
+            _MATCHERS.clear()
+            _MATCHERS[name] = Matcher(shared.value, error_rate)
+        return _MATCHERS[name]
+    return matcher
 
-        def matcher() -> Matcher:
-            if name not in _MATCHERS:  # one per worker process
-                _MATCHERS.clear()
-                _MATCHERS[name] = Matcher(shared.value, error_rate)
-            return _MATCHERS[name]
-        return matcher
 
+def _waves(items: DataFrame, id_col: str, text_col: str, error_rate: float,
+           block_bytes: int) -> Iterator[list[Callable[[], Matcher]]]:
+    """The matchers of all blocks, at most ``WAVE_BLOCKS`` at a time."""
     context = items.sparkSession.sparkContext
-    return [of(context.broadcast(block)) for block in _blocks(items, id_col, text_col, block_bytes)]
+    blocks = _blocks(items, id_col, text_col, block_bytes)
+    while wave := [_shared(block, error_rate, context) for block in islice(blocks, WAVE_BLOCKS)]:
+        yield wave
+
+
+def _search(batches: Iterator[pa.RecordBatch], wave: list[Callable[[], Matcher]], place: int,
+            first: bool) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[object, int]]]]]:
+    """Each batch with the matches of every row; ``first`` stops a row at the
+    first block that matches. Batches are held together where there are several
+    blocks, so that a matcher is made once for all of them."""
+    limit = HELD_BYTES if len(wave) > 1 else 0
+    held: list[pa.RecordBatch] = []
+
+    def found():
+        out = [(batch, [[] for _ in range(batch.num_rows)]) for batch in held]
+        for get in wave:
+            matcher = get()
+            for batch, rows in out:
+                for text, row in zip(batch.column(place), rows, strict=True):
+                    if not (first and row):
+                        row += matcher.matches(text.as_py() or "")
+        return out
+
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield from found()
+            held, size = [], 0
+    yield from found()
 
 
 def contaminations(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -162,15 +202,14 @@ def contaminations(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     hits = f"array<struct<item:{item_kind},errors:int>>"
     out = out.select("*", F.array().cast(hits).alias("matches"))
     schema = f"doc_id {kind}, text string, matches {hits}"
-    for get in _matchers(items, item_id_col, item_text_col, error_rate, block_bytes):
-        def run(batches: Iterator[pa.RecordBatch], get=get) -> Iterator[pa.RecordBatch]:
-            matcher = get()
-            for batch in batches:
-                found = [before.as_py() + [{"item": i, "errors": e} for i, e in matcher.matches(t.as_py() or "")]
-                         for t, before in zip(batch.column(1), batch.column(2), strict=True)]
+    for i, wave in enumerate(_waves(items, item_id_col, item_text_col, error_rate, block_bytes)):
+        def run(batches: Iterator[pa.RecordBatch], wave=wave) -> Iterator[pa.RecordBatch]:
+            for batch, rows in _search(batches, wave, 1, False):
+                found = [before.as_py() + [{"item": i, "errors": e} for i, e in row]
+                         for row, before in zip(rows, batch.column(2), strict=True)]
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, batch.schema.field(2).type)],
                                       schema=batch.schema)
-        out = out.mapInArrow(run, schema)
+        out = (materialize(out, "wave") if i else out).mapInArrow(run, schema)
     return out.select("doc_id", F.sort_array("matches").alias("matches"))
 
 
@@ -179,11 +218,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "tex
                       block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
     place = docs.columns.index(text_col)
-    for get in _matchers(items, item_id_col, item_text_col, error_rate, block_bytes):
-        def run(batches: Iterator[pa.RecordBatch], get=get) -> Iterator[pa.RecordBatch]:
-            matcher = get()
-            for batch in batches:
-                yield batch.filter(pa.array([not matcher.matches(t.as_py() or "") for t in batch.column(place)],
-                                            pa.bool_()))
-        docs = docs.mapInArrow(run, docs.schema)
+    for i, wave in enumerate(_waves(items, item_id_col, item_text_col, error_rate, block_bytes)):
+        def run(batches: Iterator[pa.RecordBatch], wave=wave) -> Iterator[pa.RecordBatch]:
+            for batch, rows in _search(batches, wave, place, True):
+                yield batch.filter(pa.array([not row for row in rows], pa.bool_()))
+        docs = (materialize(docs, "wave") if i else docs).mapInArrow(run, docs.schema)
     return docs

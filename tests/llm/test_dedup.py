@@ -137,6 +137,44 @@ def test_links_inside_a_large_cell():
             assert root(i) == root(int(j))
 
 
+def test_large_cells_are_dealt(spark):
+    """A family that shares two bit blocks: parts of its cell keep every link,
+    and no task's cell holds more than two parts."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    family = [rng.getrandbits(30) for _ in range(900)]
+    family += [rng.choice(family) ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 3, 4])))
+               for _ in range(900)]
+    fps = np.array(sorted(set(family)), np.uint64)
+    table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= simhash.RADIUS
+
+    def classes(links):
+        root = list(range(len(fps)))
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+        for a, b in links:
+            root[find(a)] = find(b)
+        groups = defaultdict(list)
+        for x in range(len(fps)):
+            groups[find(x)].append(x)
+        return sorted(groups.values())
+
+    want = classes(zip(*np.nonzero(np.triu(near, 1))))
+    at = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    for cell_rows in (64, 100_000):
+        links = [(at[r.u], at[r.v]) for r in simhash.near_links(table, cell_rows=cell_rows).collect()]
+        assert classes(links) == want
+    most = simhash._dealt(table, simhash.RADIUS, 64).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.max("n")).first()[0]
+    assert most < 64 * 3
+
+
 def test_simhash_of_empty_table(spark):
     assert simhash.simhash_components(common.empty(spark)).count() == 0
 
@@ -216,6 +254,28 @@ def test_contaminations(spark, docs):
     assert clean.columns == extra.columns and clean.count() == table.count() - found
 
 
+def test_many_blocks_run_in_waves(spark, monkeypatch):
+    """Twenty blocks: one Python worker a task, waves written between."""
+    rng = random.Random(12)
+    items = [(i, common.prose(rng, 25)) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, common.prose(rng, 20) + " " + (items[i][1] if i < 40 else "") + " " + common.prose(rng, 20))
+            for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    size = max(len(t.encode()) for _, t in items)
+    monkeypatch.setattr(decontam, "_blocks", lambda *_: iter([sorted(items[i:i + 2]) for i in range(0, 40, 2)]))
+    for blocks, held in ((100, 1 << 20), (7, 1), (1, 1 << 20)):
+        monkeypatch.setattr(decontam, "WAVE_BLOCKS", blocks)
+        monkeypatch.setattr(decontam, "HELD_BYTES", held)
+        found = decontam.contaminations(table, bench, block_bytes=size)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+        assert {r.doc_id: [m["item"] for m in r.matches] for r in found.collect()} == {
+            i: [i] if i < 40 else [] for i in range(60)}
+        clean = decontam.drop_contaminated(table, bench, block_bytes=size)
+        assert sorted(r.doc_id for r in clean.collect()) == list(range(40, 60))
+
+
 def test_contaminations_of_empty_tables(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminations(docs, bench).filter("size(matches) = 0").count() == docs.count()
