@@ -52,6 +52,10 @@ class Settings:
     quantile_error: float = 0.005   # of the bin edges' ranks
 
 
+# Joint bins of a group of features: their sums stay in a core's cache.
+JOINT_BINS = 1024
+
+
 def feature_columns(df: DataFrame, exclude: Sequence[str]) -> list[str]:
     """K4: the numeric columns that are not excluded (keys, labels, outcomes)."""
     return select_numeric(df, exclude).columns
@@ -102,34 +106,99 @@ class Forest:
             out[i, known] = 1 + np.searchsorted(edges, x[known], side="left")
         return out
 
-    def node(self, bins: np.ndarray, model: int, round_: int, levels: int) -> np.ndarray:
-        """Where the rows stand after some levels of a tree, counted from the root in rows of nodes."""
-        at = np.zeros(bins.shape[1], np.uint8)
-        for level in range(levels):
-            right = np.zeros(bins.shape[1], bool)
-            for n in range(2 ** level - 1, 2 ** (level + 1) - 1):
-                larger = bins[self.feature[model, round_, n]] > self.bin[model, round_, n]
-                right |= larger & (at == n) if level else larger
-            at = 2 * at + 1 + right
-        return at
-
-    def raw(self, bins: np.ndarray, model: int, rounds: int) -> np.ndarray:
-        """Sum of the first rounds' trees."""
-        depth = self.settings.depth
-        out = np.full(bins.shape[1], self.base[model])
-        for r in range(rounds):
-            out += self.value[model, r].take(self.node(bins, model, r, depth) - (2 ** depth - 1))
-        return out
-
-    def predicted(self, task: Task, bins: np.ndarray, fold: int, rounds: int) -> np.ndarray:
-        """Means, or probabilities of each class (one column for a binary task)."""
-        raw = np.column_stack([self.raw(bins, m, rounds) for m in self.models(task, fold)])
+    def predicted(self, task: Task, walk: Walk, fold: int) -> np.ndarray:
+        """Means, or probabilities, one row per class (one row for a regression and a binary task)."""
+        raw = np.stack([walk.raw(m) for m in self.models(task, fold)])
         if task.kind == "regression":
             return raw
         if task.kind == "binary":
             return 1 / (1 + np.exp(-raw))
-        p = np.exp(raw - raw.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
+        p = np.exp(raw - raw.max(axis=0))
+        return p / p.sum(axis=0)
+
+
+class Paths:
+    """The splits of the first ``rounds`` trees of every model and of ``levels`` levels of
+    the next tree, prepared once per task. Models share most splits, so each (feature,
+    bin) is compared once per batch; a row's way through eight nodes is one byte of their
+    results, looked up in a table of nodes."""
+
+    def __init__(self, forest: Forest, rounds: int, levels: int = 0):
+        self.forest, self.rounds, self.levels = forest, rounds, levels
+        trees = rounds + (levels > 0)
+        keys = forest.feature[:, :trees].astype(np.int64) * 256 + forest.bin[:, :trees]
+        self.splits, at = np.unique(keys, return_inverse=True)
+        self.at = at.reshape(keys.shape)
+        depth = forest.settings.depth
+        self.leaf, self.node = self._table(depth), self._table(levels)
+        self.short = depth <= 3
+        if self.short:
+            self.value = forest.value[:, :rounds][:, :, self.leaf]
+
+    @staticmethod
+    def _table(levels: int) -> np.ndarray:
+        """Node, from 0 in its row of nodes, for each byte of results (bit n: node n goes right)."""
+        code, at = np.arange(256), np.zeros(256, np.int64)
+        for _ in range(min(levels, 3)):
+            at = 2 * at + 1 + (code >> at & 1)
+        return at - (2 ** min(levels, 3) - 1)
+
+
+class Walk:
+    """One batch of binned rows and its comparisons with all splits of ``paths``."""
+
+    def __init__(self, paths: Paths, bins: np.ndarray):
+        self.paths, self.n = paths, bins.shape[1]
+        marks = np.zeros((len(paths.splits), -(-self.n // 8) * 8), np.uint8)
+        for mark, key in zip(marks, paths.splits.tolist(), strict=True):
+            np.greater(bins[key >> 8], key & 255, out=mark[:self.n].view(bool))
+        self.marks = marks.view(np.uint64)      # eight rows a word: shifts by up to 7 stay inside a byte
+
+    def code(self, model: int, round_: int, inner: int) -> np.ndarray:
+        """A byte per row: bit n is set if the row is larger than node n's bin."""
+        at = self.paths.at[model, round_, :inner].tolist()
+        out = self.marks[at[0]].copy()
+        for n, split in enumerate(at[1:], 1):
+            out |= self.marks[split] << np.uint64(n)
+        return out.view(np.uint8)[:self.n]
+
+    def node(self, model: int, round_: int, levels: int) -> np.ndarray:
+        """Where the rows stand after some levels of a tree, from 0 in their row of nodes."""
+        if not levels:
+            return np.zeros(self.n, np.int64)
+        if levels <= 3:
+            table = self.paths.node if levels == self.paths.levels else self.paths.leaf
+            return table.take(self.code(model, round_, 2 ** levels - 1))
+        at = np.zeros(self.n, np.int64)
+        marks = self.marks.view(np.uint8)[:, :self.n]
+        split = self.paths.at[model, round_]
+        for level in range(levels):
+            at = 2 * at + 1 + marks[split[at], np.arange(self.n)]
+        return at - (2 ** levels - 1)
+
+    def raw(self, model: int) -> np.ndarray:
+        """Sum of the first rounds' trees."""
+        forest, depth = self.paths.forest, self.paths.forest.settings.depth
+        out = np.full(self.n, forest.base[model])
+        for r in range(self.paths.rounds):
+            if self.paths.short:
+                out += self.paths.value[model, r].take(self.code(model, r, 2 ** depth - 1))
+            else:
+                out += forest.value[model, r].take(self.node(model, r, depth))
+        return out
+
+
+def _bundles(widths: Sequence[int]) -> list[list[int]]:
+    """Features in groups whose joint bins number at most ``JOINT_BINS``: one count over
+    the joint bins of a group holds the histograms of all its features."""
+    groups: list[list[int]] = []
+    for f in sorted(range(len(widths)), key=lambda f: -widths[f]):
+        fits = [g for g in groups if widths[f] * np.prod([widths[x] for x in g]) <= JOINT_BINS]
+        if fits:
+            fits[0].append(f)
+        else:
+            groups.append([f])
+    return groups
 
 
 def _columns(batch: pa.RecordBatch, names: Sequence[str]) -> list[np.ndarray]:
@@ -140,32 +209,50 @@ def _histograms(data: DataFrame, shared, features: Sequence[str], round_: int, l
     """(model, node, feature, bin, g, h, n): gradients of all training rows at a level."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest: Forest = shared.value
-        width = forest.settings.max_bin + 2
-        shape = (forest.n_models, 2 ** level, len(features), width)
-        sums = np.zeros((3, *shape))
+        nodes = 2 ** level
+        paths = Paths(forest, round_, level)
+        widths = [len(e) + 2 for e in forest.edges]
+        groups = _bundles(widths)
+        # Per group of features and model (node, joint bin); a node more takes the rows that are not trained on.
+        shapes = [[widths[f] for f in g] for g in groups]
+        sums = [np.zeros((forest.n_models, 3, nodes + 1, int(np.prod(s)))) for s in shapes]
         for batch in batches:
             bins = forest.bins(_columns(batch, features))
+            walk = Walk(paths, bins)
+            joint = [np.ravel_multi_index([bins[f].astype(np.int64) for f in g], s) for g, s in zip(groups, shapes)]
             for task in forest.tasks:
                 label, fold = _columns(batch, [f"label_{task.name}", f"fold_{task.name}"])
+                known = ~np.isnan(label)
+                label = np.where(known, label, 0.0)
+                hit = [label == c for c in range(task.scores)] if task.kind == "multiclass" else [label]
                 for k in range(forest.settings.n_folds):
-                    rows = np.flatnonzero(~np.isnan(label) & (fold != k))
-                    if not len(rows):
+                    out = ~(known & (fold != k))
+                    if out.all():
                         continue
-                    b, y = bins[:, rows], label[rows]
-                    p = forest.predicted(task, b, k, round_)
+                    p = forest.predicted(task, walk, k)
+                    cells = counts = None
                     for c, model in enumerate(forest.models(task, k)):
-                        g = p[:, c] - (y == c if task.kind == "multiclass" else y)
-                        h = np.ones(len(rows)) if task.kind == "regression" else p[:, c] * (1 - p[:, c])
-                        node = forest.node(b, model, round_, level).astype(np.int64) - (2 ** level - 1)
-                        at = node * (len(features) * width)
-                        for f in range(len(features)):
-                            cell = at + f * width + b[f]
-                            for s, w in zip(sums, (g, h, None), strict=True):
-                                s[model] += np.bincount(cell, w, s[model].size).reshape(shape[1:])
-        model, node, feature, bin_ = np.nonzero(sums[2])
-        yield pa.record_batch([pa.array(x.astype(np.int32)) for x in (model, node, feature, bin_)]
-                              + [pa.array(s[model, node, feature, bin_]) for s in sums],
-                              names=["model", "node", "feature", "bin", "g", "h", "n"])
+                        g = p[c] - hit[c]
+                        h = None if task.kind == "regression" else p[c] * (1 - p[c])
+                        if level or cells is None:      # all classes share the root and its counts
+                            node = walk.node(model, round_, level)
+                            node[out] = nodes
+                            cells = [node * s.shape[3] + j for s, j in zip(sums, joint, strict=True)]
+                            counts = [np.bincount(cell, None, s[model, 0].size) for s, cell in zip(sums, cells)]
+                        for s, cell, n in zip(sums, cells, counts, strict=True):
+                            at = s[model].reshape(3, -1)
+                            at[0] += np.bincount(cell, g, n.size)
+                            at[1] += n if h is None else np.bincount(cell, h, n.size)
+                            at[2] += n
+        for s, group, shape in zip(sums, groups, shapes, strict=True):
+            whole = s[:, :, :nodes].swapaxes(0, 1).reshape(3, forest.n_models, nodes, *shape)
+            for i, f in enumerate(group):
+                each = whole.sum(axis=tuple(3 + x for x in range(len(group)) if x != i))
+                model, node, bin_ = np.nonzero(each[2])
+                feature = np.full(len(model), f)
+                yield pa.record_batch([pa.array(x.astype(np.int32)) for x in (model, node, feature, bin_)]
+                                      + [pa.array(e[model, node, bin_]) for e in each],
+                                      names=["model", "node", "feature", "bin", "g", "h", "n"])
 
     schema = "model int, node int, feature int, bin int, g double, h double, n double"
     key = ["model", "node", "feature", "bin"]
@@ -256,23 +343,27 @@ def out_of_fold_tasks(df: DataFrame, *, key: Sequence[str], tasks: Sequence[Task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest: Forest = shared.value
+        paths = Paths(forest, forest.settings.rounds)
         for batch in batches:
             bins = forest.bins(_columns(batch, features))
             for task in forest.tasks:
                 label, fold = _columns(batch, [f"label_{task.name}", f"fold_{task.name}"])
-                for k in range(forest.settings.n_folds):
-                    rows = np.flatnonzero(~np.isnan(label) & (fold == k))
-                    p = forest.predicted(task, bins[:, rows], k, forest.settings.rounds)
-                    if task.kind == "regression":
-                        best, shares = p[:, 0], [None] * len(rows)
-                    else:
-                        shares = np.column_stack([1 - p, p]) if task.kind == "binary" else p
-                        best, shares = shares.argmax(axis=1).astype(float), shares.tolist()
-                    held = [batch.column(c).take(pa.array(rows)) for c in key]
-                    yield pa.record_batch([*held, pa.array([task.name] * len(rows), pa.string()),
-                                           pa.array(np.full(len(rows), k), pa.int32()), pa.array(label[rows]),
-                                           pa.array(best), pa.array(shares, pa.list_(pa.float64()))],
-                                          names=[*key, "task", "fold", "label", "prediction", "probabilities"])
+                parts = [np.flatnonzero(~np.isnan(label) & (fold == k)) for k in range(forest.settings.n_folds)]
+                p = np.concatenate([forest.predicted(task, Walk(paths, bins[:, rows]), k)
+                                    for k, rows in enumerate(parts)], axis=1)
+                rows = np.concatenate(parts)
+                if task.kind == "regression":
+                    best, shares = p[0], pa.nulls(len(rows), pa.list_(pa.float64()))
+                else:
+                    p = np.concatenate([1 - p, p]) if task.kind == "binary" else p
+                    best = p.argmax(axis=0).astype(float)
+                    ends = np.arange(len(rows) + 1, dtype=np.int32) * len(p)
+                    shares = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(p.T).ravel()))
+                held = [batch.column(c).take(pa.array(rows)) for c in key]
+                yield pa.record_batch([*held, pa.array([task.name] * len(rows), pa.string()),
+                                       pa.array(fold[rows].astype(np.int32)), pa.array(label[rows]),
+                                       pa.array(best), shares],
+                                      names=[*key, "task", "fold", "label", "prediction", "probabilities"])
 
     return data.mapInArrow(run, schema)
 

@@ -5,7 +5,8 @@ import random
 
 import numpy as np
 
-from herdflow.operators.boosting import Settings, Task, best_splits, feature_columns, oof_report, out_of_fold_tasks
+from herdflow.operators.boosting import (Forest, Paths, Settings, Task, Walk, _bundles, best_splits, feature_columns,
+                                          oof_report, out_of_fold_tasks)
 
 TASKS = [Task("weight", "regression", "y_w"), Task("grade", "multiclass", "y_g", 3), Task("sick", "binary", "y_s", 2)]
 SETTINGS = Settings(n_folds=3, rounds=3, depth=2, max_bin=8, min_child=5, quantile_error=0.0)
@@ -133,3 +134,33 @@ def test_no_split_without_enough_rows(spark):
     few, enough = (best_splits(hist, Settings(min_child=m)).first() for m in (5, 4))
     assert few.gain == 0 and (few.g, few.h) == (0.0, 10.0)
     assert enough.bin == 1 and abs(enough.gain - (4 / 5 + 4 / 7)) < 1e-12
+
+
+def test_byte_coded_paths_equal_plain_descent():
+    rng = np.random.default_rng(5)
+    for depth, n in ((2, 1), (3, 37), (5, 64)):
+        forest = Forest(TASKS, Settings(n_folds=2, rounds=2, depth=depth, max_bin=8), [np.arange(7.0)] * 3)
+        forest.feature[:] = rng.integers(0, 3, forest.feature.shape)
+        forest.bin[:] = rng.integers(0, 10, forest.bin.shape)
+        forest.value[:] = rng.normal(size=forest.value.shape)
+        forest.base[:] = rng.normal(size=forest.n_models)
+        bins = rng.integers(0, 9, (3, n)).astype(np.uint8)
+
+        def leaf(model, round_, levels, row):
+            at = 0
+            for _ in range(levels):
+                at = 2 * at + 1 + int(bins[forest.feature[model, round_, at], row] > forest.bin[model, round_, at])
+            return at - (2 ** levels - 1)
+
+        for levels in range(depth):
+            walk = Walk(Paths(forest, 1, levels), bins)
+            for model in range(forest.n_models):
+                assert walk.node(model, 1, levels).tolist() == [leaf(model, 1, levels, i) for i in range(n)]
+                raw = [forest.base[model] + forest.value[model, 0, leaf(model, 0, depth, i)] for i in range(n)]
+                assert np.allclose(walk.raw(model), raw, atol=1e-12)
+        # One comparison for each split, however many models hold it.
+        assert len(Walk(Paths(forest, 2), bins).marks) <= 3 * 10
+
+
+def test_histograms_count_joint_bins():
+    assert _bundles([32, 32, 12, 10]) == [[0, 1], [2, 3]] and _bundles([2000, 2]) == [[0], [1]] and _bundles([]) == []
