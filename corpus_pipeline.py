@@ -37,12 +37,16 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, sources mixed by their natural shares, in mixed sequence."""
-    return mixing.mixed(docs, hot_factor=None)
+    """All documents, sources mixed by their natural shares, in mixed sequence, and
+    noted as such: the sharding stage numbers its slots by the order found here."""
+    return mixing.in_sequence(mixing.mixed(docs, hot_factor=None))
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and their slot in it, in mixed sequence."""
+    """The documents with their shard and their slot in it, in mixed sequence: the
+    order the mixing stage left, or a mix worked out here for other documents."""
+    if mixing.is_in_sequence(docs):
+        return shard_tree.place_in_order(docs, SHARDS)
     return shard_tree.place_in_sequence(docs, SHARDS)
 
 

@@ -23,11 +23,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from herdflow.llm import mixing
 from herdflow.llm.common import RANK_BUCKETS, free_name, key_text, spread_rank, text_or_empty
+from herdflow.operators.joins import materialize
 
 SHARDS_PER_RACK = 4
 RACKS_PER_REGION = 2
@@ -134,3 +136,43 @@ def place_in_sequence(docs: DataFrame, shards: int = 16, id_col: str = "doc_id",
                          placed([]), "__shard", "__digest", [], "__slot")
     return ranked.select("__doc.*", F.col("__shard").alias(free_name(docs, "shard")),
                          F.col("__slot").alias(free_name(docs, "slot")))
+
+
+def place_in_order(docs: DataFrame, shards: int = 16, id_col: str = "doc_id") -> DataFrame:
+    """As ``place_in_shards``, but the slots of a shard follow the order in which
+    ``docs`` is given: that of a written table's files, or of the partitions of any
+    other DataFrame. The rows are written once with their place, so counting and
+    ranking see the same order."""
+    spot = F.monotonically_increasing_id().alias("__spot")
+    part = F.regexp_extract("__file", "part-([0-9]+)[^/]*$", 1).try_cast("long").alias("__part")
+    key, doc = key_text(id_col).alias("__id"), F.struct("*").alias("__doc")
+    try:
+        # A file's pieces may be read by several tasks, and files in any order.
+        rows = docs.select(doc, key, F.input_file_name().alias("__file"), F.input_file_block_start().alias("__from"), spot)
+    except AnalysisException:
+        # Spark names no file for a plan over several tables: not a written table.
+        rows = docs.select(doc, key, F.lit("").alias("__file"), F.lit(-1).cast("long").alias("__from"), spot)
+    rows = assign_shards(rows, F.col("__id"), {"__shard": even_tree(shards)})
+    rows = materialize(rows.select("*", part), "in-order")
+    # A piece is read by one task from end to end; without files, a piece is a partition.
+    rows = rows.withColumn("__task", F.when(F.col("__file") == "", F.shiftright("__spot", 33)).otherwise(F.lit(0)))
+    piece = ["__part", "__file", "__from", "__task"]
+    pieces = rows.groupBy(*piece).agg(F.min("__spot").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    order = Window.orderBy(*piece)                      # one row per piece
+    pieces = pieces.select(*[F.col(c).alias(f"_{c}") for c in piece], "__first",
+                           F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)),
+                                      F.lit(0)).alias("__before"),
+                           F.sum("__n").over(Window.partitionBy()).alias("__all"))
+    pieces = materialize(pieces, "pieces")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in piece]
+    position = F.col("__before") + F.col("__spot") - F.col("__first")
+    part_of = F.expr(f"__position * {RANK_BUCKETS} div __all")
+    digest = F.lower(F.concat(F.lpad(F.hex(part_of), 3, "0"), F.lpad(F.hex("__position"), 16, "0")))
+
+    def placed(*carried):
+        found = rows.select(*carried, "__shard", "__spot", *piece).join(F.broadcast(pieces), same)
+        return found.withColumn("__position", position).select(*carried, "__shard", digest.alias("__digest"))
+
+    ranked = spread_rank(placed("__doc"), placed(), "__shard", "__digest", [], "__slot")
+    return ranked.select("__doc.*", F.col("__shard").alias(free_name(docs, "shard")),
+                         F.col("__slot").alias(free_name(docs, "slot")))

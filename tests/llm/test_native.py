@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from herdflow.llm import mixing, quality_rules, queries, secret_scan, shard_tree
@@ -178,6 +179,31 @@ def test_shards_follow_the_mixed_sequence(spark):
     assert len(got) == len(rows) == sum(sizes.values())
 
 
+def test_shards_follow_the_order_the_mixing_stage_left(spark, tmp_path):
+    """What the mixing stage hands on decides the slots, from files and from a plan."""
+    _, docs = hot_table(spark)
+    docs = docs.withColumn("text", docs.doc_id.cast("string"))
+    assert mixing.is_in_sequence(corpus_pipeline.mixing_stage(spark, docs, ""))
+    shard = {r.doc_id: r.shard for r in shard_tree.shard_table(docs, corpus_pipeline.SHARDS).collect()}
+    for sign in (1, -1):
+        # Another sequence than that of the natural shares, in files of unlike sizes.
+        order = sorted(shard, key=lambda i: (sign * i * 7919) % 1009)
+        at = (docs.doc_id * sign * 7919) % 1009
+        ordered = mixing.in_sequence(docs.withColumn("at", at + (at < 0).cast("int") * 1009).withColumn(
+            "text", F.repeat("text", F.when(F.col("at") > 500, 9).otherwise(1))).repartitionByRange(7, "at")
+            .sortWithinPartitions("at").drop("at"))
+        ordered.write.mode("overwrite").parquet(f"{tmp_path}/mix{sign}")
+        for given in (spark.read.parquet(f"{tmp_path}/mix{sign}"), ordered):
+            rows = corpus_pipeline.sharding_stage(spark, given, "").collect()
+            got, seen = {(r.shard, r.slot): r.doc_id for r in rows}, Counter()
+            for key in order:
+                assert got[shard[key], seen[shard[key]]] == key
+                seen[shard[key]] += 1
+            assert len(got) == len(rows) == len(shard)
+    empty = mixing.in_sequence(docs.filter("doc_id < 0"))
+    assert corpus_pipeline.sharding_stage(spark, empty, "").count() == 0
+
+
 def test_sequence_shards_of_awkward_tables(spark, docs):
     placed = shard_tree.place_in_sequence(common.clashing(docs), 4)
     assert placed.columns[-2:] == ["_shard", "_slot"] and placed.columns[:-2] == common.clashing(docs).columns
