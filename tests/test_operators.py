@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import random
 
 import numpy as np
 import pandas as pd
@@ -461,3 +462,46 @@ def test_weighted_quantiles_equal_repeated_rows(spark):
     each = df.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
     probs = [0.0, 0.1, 0.5, 0.83, 1.0]
     assert learn.exact_quantiles(df, "x", probs, weight="n") == learn.exact_quantiles(each, "x", probs)
+
+
+def test_offspring_of_repeated_and_unknown_children(spark):
+    """Children on several rows, in several years and without an id count once per parent."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *range(40)]), rng.choice([None, 1, 2]), rng.choice([None, 7, 8]), rng.choice([None, 2001, 2002, 2003]))
+            for _ in range(150)] + [(1000 + i, 1, 7, 2001) for i in range(30)]
+    ch = spark.createDataFrame(rows, "c long, f long, m long, y int")
+    years = spark.createDataFrame([([2001, 2002, 2003, 2004],)], "__years array<int>")
+    found = lineage.offspring_by_year(ch, child="c", year="y", roles={"FATHER": "f", "MOTHER": "m"}, years=years)
+    first = {}
+    for c, f, m, y in rows:
+        for role, p in (("FATHER", f), ("MOTHER", m)):
+            if p is not None:
+                known = [x for x in (first.get((role, p, c)), y) if x is not None]
+                first[role, p, c] = min(known) if known else None
+    want = {(role, str(p), t): sum(1 for (r2, p2, _), y in first.items() if (r2, p2) == (role, p) and y is not None and y < t)
+            for role, p, _ in first for t in (2001, 2002, 2003, 2004)}
+    assert {(r.ROLE, r.LINEAGE_NO, r.TARGET_YEAR): r.PAST_OFFSPRING_COUNT for r in found.collect()} == want
+
+
+def test_rows_are_summed_before_they_meet_their_groups(spark, capsys):
+    rows = spark.createDataFrame([(i, i % 5, 2000 + i % 2, None if i % 3 == 0 else float(i)) for i in range(60)],
+                                 "i long, farm long, year int, v double")
+    members = spark.createDataFrame([("1", "g"), ("2", "g")], "__farm string, __group string")
+    means = lineage.farm_year_means(rows, farm="farm", year="year", values=["v"], members=members)
+    counts = lineage.imputable_rows(rows, farm="farm", year="year", values={"n": "v"}, members=members)
+    for df in (means, counts):
+        df.explain("extended")
+        plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+        assert plan.index("Join") < plan.rindex("Aggregate")
+    want = {}
+    for i in range(60):
+        key = ("GROUP:g" if i % 5 in (1, 2) else f"FARM:{i % 5}", 2000 + i % 2)
+        want.setdefault(key, []).extend([float(i)] if i % 3 else [])
+    got = {(r["__key"], r["__year"]): (r.v_MEAN, r.v_SAMPLE_COUNT) for r in means.collect()}
+    assert got == {k: (sum(v) / len(v) if v else None, len(v)) for k, v in want.items()}
+    # Rows that cannot be filled are not joined: a row with a value is no row of the join's left side.
+    filled = lineage.impute_from_group_year(rows, means, farm="farm", year="year", value="v", members=members)
+    filled.explain("extended")
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert plan.index("Union") < plan.index("Join") and "isnull(v" in plan
+    assert filled.count() == 60 and filled.filter("v_IMPUTED = 'YES'").count() == counts.first().n
