@@ -142,3 +142,34 @@ def test_samples_carry_static_columns_and_all_targets(spark):
             steps = [(u, -float(u), e * 100.0 + u) for u in range(max(0, t - 3), t)]
             want[e, t] = (steps, e * 100.0 + t, -float(t), f"s{e}", len(steps))
     assert found == want
+
+
+def test_packed_series_give_the_samples_of_exploded_ones(spark, capsys):
+    """Repeated entities, unknown stations, months without weather and short ranges."""
+    import datetime as dt
+
+    from herdflow.operators import learn
+
+    day = lambda m: dt.date(2020 + m // 12, m % 12 + 1, 5)
+    rows = [(i % 17, "abc"[i % 3] if i % 5 else None, day(i % 7), day(i % 7 + i % 11 - 1), f"s{i % 2}") for i in range(24)]
+    df = spark.createDataFrame(rows, "e int, stn string, m0 date, m1 date, s string")
+    weather = spark.createDataFrame([(x, dt.date(2020 + m // 12, m % 12 + 1, 1), float(m) if m % 4 else None)
+                                     for x in "ab" for m in (2, 3, 4, 8, 9)], "stn string, month date, v double")
+    args = {"entity": ["e", "s"], "start": "m0", "end": "m1", "station": "stn", "weather": weather, "weather_vars": ["v"]}
+    plain = learn.median_impute(learn.monthly_sequence(df, **args), ["v"], {"v": [0.5]})
+    packed = learn.monthly_sequence(df, **args, packed=True, fill={"v": 0.5})
+    steps = packed.select("e", "s", "stn", F.explode("steps").alias("x")).select("e", "s", "stn", "x.*")
+    key = lambda r: str(r)
+    assert sorted(map(tuple, steps.collect()), key=key) == sorted(
+        map(tuple, plain.select("e", "s", "stn", "time_idx", "v").collect()), key=key)
+    sample = {"entity": ["e"], "time_idx": "time_idx", "static": ["s"], "reals": [], "targets": ["v"], "max_encoder": 3}
+    want = sorted((str(tuple(r)) for r in learn.sequence_samples(plain, **sample).collect()))
+    found = learn.sequence_samples(packed, **sample, steps="steps")
+    assert want and sorted(str(tuple(r)) for r in found.collect()) == want
+    one = {"entity": ["e", "s"], "time_idx": "time_idx", "value": "v", "max_encoder": 3}
+    single, kept = (x.filter("e >= 7 and e < 17") for x in (packed, plain))
+    want = sorted((str(tuple(r)) for r in learn.encoder_samples(kept, **one).collect()))
+    assert want and sorted(str(tuple(r)) for r in learn.encoder_samples(single, **one, steps="steps").collect()) == want
+    # A sample is cut from its series' array: no window, no step is shuffled or sorted.
+    learn.encoder_samples(packed, **one, steps="steps").explain()
+    assert "Window" not in capsys.readouterr().out
