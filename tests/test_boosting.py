@@ -5,8 +5,8 @@ import random
 
 import numpy as np
 
-from herdflow.operators.boosting import (Forest, Paths, Settings, Task, Walk, _bundles, best_splits, feature_columns,
-                                          oof_report, out_of_fold_tasks)
+from herdflow.operators.boosting import (Forest, Paths, Settings, Task, Walk, _bundles, _histograms, _larger_children, _layout,
+                                          best_splits, feature_columns, oof_report, out_of_fold_tasks)
 
 TASKS = [Task("weight", "regression", "y_w"), Task("grade", "multiclass", "y_g", 3), Task("sick", "binary", "y_s", 2)]
 SETTINGS = Settings(n_folds=3, rounds=3, depth=2, max_bin=8, min_child=5, quantile_error=0.0)
@@ -164,3 +164,45 @@ def test_byte_coded_paths_equal_plain_descent():
 
 def test_histograms_count_joint_bins():
     assert _bundles([32, 32, 12, 10]) == [[0, 1], [2, 3]] and _bundles([2000, 2]) == [[0], [1]] and _bundles([]) == []
+
+
+def test_a_pass_sums_only_the_smaller_children(spark):
+    """One binary column is read; with ``above`` the sums are those of all rows of both children."""
+    rng = np.random.default_rng(7)
+    task, settings = Task("grade", "multiclass", "y", 2), Settings(n_folds=2, rounds=1, depth=3, max_bin=8)
+    forest = Forest([task], settings, [np.arange(7.0)] * 3)
+    bins, fold, label = rng.integers(0, 9, (90, 3)), rng.integers(0, 2, 90), rng.integers(0, 2, 90).astype(float)
+    label[::11] = np.nan
+    rows = np.zeros(90, _layout(3, 1))
+    rows["bins"], rows["fold"][:, 0], rows["label"][:, 0] = bins, fold, label
+    data = spark.createDataFrame([(bytearray(r.tobytes()),) for r in rows], "__packed binary").repartition(3)
+    above = None
+    for level in range(3):
+        if level:
+            at = slice(2 ** (level - 1) - 1, 2 ** level - 1)
+            forest.feature[:, 0, at], forest.bin[:, 0, at] = level, 2
+            forest.right[:, 0, at] = rng.random(forest.right[:, 0, at].shape) < 0.5
+            above = _larger_children(found, forest, 0, level - 1)  # noqa: F821
+        found = _histograms(data, spark.sparkContext.broadcast(forest), 0, level, above)
+        got = {(r.model, r.node, r.feature, r.bin): (r.g, r.h, r.n) for r in found.collect()}
+        want = {}
+        for model, c in ((m, m % 2) for m in range(forest.n_models)):
+            for i in np.flatnonzero(~np.isnan(label) & (fold != model // 2)):
+                node = 0
+                for step in range(1, level + 1):
+                    node = 2 * node + int(bins[i, step] > 2)
+                for f in range(3):
+                    cell = want.setdefault((model, node, f, int(bins[i, f])), np.zeros(3))
+                    cell += (0.5 - (label[i] == c), 0.25, 1)
+        assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
+
+
+def test_ranges_of_a_walk():
+    rng = np.random.default_rng(8)
+    forest = Forest(TASKS, Settings(n_folds=2, rounds=2, depth=3, max_bin=8), [np.arange(7.0)] * 3)
+    forest.feature[:], forest.bin[:] = rng.integers(0, 3, forest.feature.shape), rng.integers(0, 10, forest.bin.shape)
+    forest.value[:] = rng.normal(size=forest.value.shape)
+    walk = Walk(Paths(forest, 2, models=forest.of(TASKS[1])), rng.integers(0, 9, (3, 61)).astype(np.uint8))
+    for first, end in ((0, 61), (5, 40), (8, 8), (13, 59)):
+        for model in forest.of(TASKS[1]):
+            assert walk.part(first, end).raw(model).tolist() == walk.raw(model)[first:end].tolist()
