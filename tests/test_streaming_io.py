@@ -173,3 +173,27 @@ def test_packed_series_give_the_samples_of_exploded_ones(spark, capsys):
     # A sample is cut from its series' array: no window, no step is shuffled or sorted.
     learn.encoder_samples(packed, **one, steps="steps").explain()
     assert "Window" not in capsys.readouterr().out
+
+
+def test_ranges_of_one_station_and_month_lie_together(spark, capsys):
+    """Written once by station and first month; the series made of them deal no row again."""
+    import datetime as dt
+
+    from herdflow.operators import learn
+
+    rows = [(i, "abcd"[i * 7 % 4] if i % 50 else None, dt.date(2020, 1 + i * 5 % 12, 1 + i % 28), dt.date(2021, 1, 15))
+            for i in range(2000)]
+    df = spark.createDataFrame(rows, "e int, stn string, m0 date, m1 date")
+    dealt = learn.dealt_ranges(df.repartition(8), entity=["e"], start="m0", end="m1", station="stn")
+    assert sorted(map(str, dealt.collect())) == sorted(
+        map(str, df.selectExpr("e", "stn", "date(trunc(m0, 'MM')) m0", "date(trunc(m1, 'MM')) m1").collect()))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = dealt.select("stn", "m0", F.input_file_name().alias("f")).distinct().count()
+    pairs = dealt.select("stn", "m0").distinct().count()
+    assert files < pairs + parts        # a pair is in a second file only where a range ends
+    weather = spark.createDataFrame([(x, dt.date(2020, 1 + m, 1), float(m)) for x in "abc" for m in range(12)],
+                                    "stn string, month date, v double")
+    series = learn.monthly_sequence(dealt, entity=["e"], start="m0", end="m1", station="stn", weather=weather,
+                                    weather_vars=["v"], packed=True, fill={"v": 0.5})
+    series.explain()
+    assert "hashpartitioning" not in capsys.readouterr().out
