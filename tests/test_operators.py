@@ -505,3 +505,28 @@ def test_rows_are_summed_before_they_meet_their_groups(spark, capsys):
     plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     assert plan.index("Union") < plan.index("Join") and "isnull(v" in plan
     assert filled.count() == 60 and filled.filter("v_IMPUTED = 'YES'").count() == counts.first().n
+
+
+def test_training_rows_carry_only_what_was_loaded(spark, monkeypatch, capsys):
+    """Ids, seasons and parents' names are added after the rows were dealt; orders meet farms first."""
+    from herdflow.operators import builder
+    from herdflow.plans import builder_plans
+    from herdflow.plans.common import animals
+
+    written = {}
+    write = builder.materialize
+    monkeypatch.setattr(builder, "materialize", lambda df, name: write(written.setdefault(name, df), name))
+    report = {}
+    out = builder_plans._feature_table(spark, "/root/testdata/sf0.001", "TRAIN", report)
+    assert {"DATA_ROW_ID", "ABATT_SEASON", "BIRTH_SEASON", "LINEAGE_FATHER_NO", "FATHER_PAST_OFFSPRING_COUNT"} <= set(out.columns)
+    stage = set(written["training-stage"].columns)
+    assert not stage & {"DATA_ROW_ID", "ABATT_SEASON", "BIRTH_SEASON", "LINEAGE_FATHER_NO", "CATTLE_NO", "father", "death_farm"}
+    assert set(builder_plans.KEY) <= stage and report["rows"] == report["loaded"] - report["dropped"] == out.count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        animals(spark, "/root/testdata/sf0.001").explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for line in capsys.readouterr().out.splitlines() if "Join" in line]
+    assert "l_orderkey" in joins[0] and not any("l_orderkey" in line for line in joins[1:])
